@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import jaccard, line_dedup, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_line_dedup": line_dedup.op7_line_dedup,
     }
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op3_jaccard_join": jaccard.OP3_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
