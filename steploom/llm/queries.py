@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, mixing, quality
+from . import jaccard, line_dedup, mixing, packing, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_packing": packing.op9_packing,
     }
 
 
