@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, mixing, packing, quality
+from . import jaccard, line_dedup, mixing, packing, quality, token_store
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op5_token_store": token_store.op5_token_store,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_packing": packing.op9_packing,
