@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, mixing, packing, quality, token_store
+from . import embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, packing, quality, token_store
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_store": token_store.op5_token_store,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_packing": packing.op9_packing,
     }
 
@@ -20,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op3_jaccard_join": jaccard.OP3_SQL,
+        "op4_embedding_dedup": embedding_dedup.OP4_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
