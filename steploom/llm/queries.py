@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, packing, quality, token_store
+from . import chat, embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, packing, quality, token_store
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_store": token_store.op5_token_store,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_chat_format": chat.OP2_SQL,
         "op3_jaccard_join": jaccard.OP3_SQL,
         "op4_embedding_dedup": embedding_dedup.OP4_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
