@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), budgets: Seq
     order = Window.orderBy(F.col("source").isNull(), "source")
     turn = (F.row_number().over(order) - 1) % n
     ws = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    base = sizes.select("source", "source_size", ws.alias("w")).crossJoin(
-        sizes.sparkSession.createDataFrame([(float(b),) for b in budgets], "budget double"))
+    base = sizes.select("source", "source_size", ws.alias("w")).withColumn(
+        "budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
     each = Window.partitionBy("budget")
     ranked = each.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
     before = ranked.rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, packing, quality, token_store
+from . import chat, embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, packing, pii, quality, token_store
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_packing": packing.op9_packing,
+        "op10_pii": pii.op10_pii,
     }
 
 
