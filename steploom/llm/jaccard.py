@@ -6,10 +6,11 @@ lists. The boundary between small and large is where the counted cost is least.
 
 The lists of large sets are kept on *cells*. A list on a single shingle of a passage that a
 thousand documents quote holds all of them, whether or not they are similar. So each set is dealt
-by hash into one cell more than the most elements in which a similar pair of its size band can
-differ: at least one cell is equal in both sets, whole, and lists on whole cells (about five
-shingles) stay short unless documents really are alike. Cells are exact, not approximate: no
-similar pair is lost.
+by hash into a third more cells than the most elements in which a similar pair of its size band can
+differ: some cells are equal in both sets, whole, and lists on whole cells (about four shingles)
+stay short unless documents really are alike. As a similar pair must share several cells, each set
+drops its cells of longest lists, one fewer than it must share, and the pair still meets. Cells
+are exact, not approximate: no similar pair is lost.
 
 Only connectivity is asked for, so groups of copies need no pair for each two members. Equal sets
 are one class. In each list the member with most company is the hub; pairs with hubs are verified
@@ -65,7 +66,7 @@ class Plan:
         for i in range(1, len(self.tops)):
             if self.tops[i] >= n and self.tops[i - 1] < self.largest(n):
                 differ = 2 * self.tops[i] * (self.den - self.num) // (self.den + self.num)
-                out.append((i, differ, differ + 1 + (differ + 1) // 32 + 1))
+                out.append((i, differ, (differ + 1) * 4 // 3 + 2))
             elif self.tops[i - 1] >= self.largest(n):
                 break
         return out
@@ -74,12 +75,18 @@ class Plan:
         """Subsets and postings of a set of ``n``."""
         return sum(comb(n, c) for c in self.subset_sizes(n)) if n <= self.small else 0, sum(c for _, _, c in self.bands(n))
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """``(keys, band, need)``: a similar set of the band shares at least ``need`` of the keys.
+
+        With ``m`` cells that are not empty and at most ``d`` elements that differ, ``m - d`` cells
+        are equal in both. Where that may be none, the set also emits a key of its band, on which
+        all such sets meet.
+        """
         n, out = len(s), []
         if n <= self.small:
             own = mixed(s, 3)
             for c in self.subset_sizes(n):
-                out.append(mixed(_subset_sums(own, c), 1000 + c))
+                out.append((mixed(_subset_sums(own, c), 1000 + c), 0, 1))
         element, spread = None, None
         for band, differ, cells in self.bands(n):
             if element is None:
@@ -90,10 +97,11 @@ class Plan:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(element[order])))
             edge = np.flatnonzero(np.diff(at)) + 1
             lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
-            out.append(mixed(mixed(total[hi] - total[lo] + at[lo], 6) + (hi - lo).astype(np.uint64), 2000 + band))
-            if len(lo) <= differ:  # every equal cell may be an empty one: such sets meet on one key
-                out.append(mixed(np.array([band], np.uint64), 7))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = mixed(mixed(total[hi] - total[lo] + at[lo], 6) + (hi - lo).astype(np.uint64), 2000 + band)
+            if len(lo) <= differ:
+                keys = np.concatenate((keys, mixed(np.array([band], np.uint64), 7)))
+            out.append((keys, band, max(1, len(lo) - differ)))
+        return out
 
 
 def _subset_sums(x: np.ndarray, c: int) -> np.ndarray:
@@ -141,34 +149,33 @@ def shingle_counts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
-    """``(key, doc, n)``: the subsets and cells of every set; a set met twice in a partition counts once."""
+    """``(key, doc, n, band, need)``: the keys of every set; a set met twice in a partition counts once."""
+    names = ["key", "doc", "n", "band", "need"]
+
+    def batch(cols):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
     def run(batches):
         seen = set()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            keys, who, size, held = [], [], [], 0
-            for doc, s in zip(ids, _sets(b, 1, k)):
+            cols, held = [[] for _ in names], 0
+            for doc, s in zip(b.column(0).to_pylist(), _sets(b, 1, k)):
                 mark = blake2b(s.tobytes(), digest_size=16).digest()
                 if doc is None or not len(s) or mark in seen:
                     continue
                 seen.add(mark)
-                own = plan.keys(s)
-                keys.append(own)
-                who.append(np.full(len(own), doc, np.int64))
-                size.append(np.full(len(own), len(s), np.int32))
-                held += len(own)
+                for keys, band, need in plan.keys(s):
+                    m = len(keys)
+                    for c, x in zip(cols, (keys.view(np.int64), np.full(m, doc, np.int64), np.full(m, len(s), np.int32), np.full(m, band, np.int32), np.full(m, need, np.int32))):
+                        c.append(x)
+                    held += m
                 if held > 1 << 18:
-                    yield _batch(keys, who, size)
-                    keys, who, size, held = [], [], [], 0
-            if keys:
-                yield _batch(keys, who, size)
-
-    return docs.mapInArrow(run, "key long, doc long, n int")
+                    yield batch(cols)
+                    cols, held = [[] for _ in names], 0
+            if held:
+                yield batch(cols)
 
-
-def _batch(keys, who, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(size))], ["key", "doc", "n"])
+    return docs.mapInArrow(run, "key long, doc long, n int, band int, need int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -197,14 +204,28 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def _hub_pairs(lists: DataFrame, num: int, den: int, by: str) -> DataFrame:
-    """Each list's members with its hub: the member that shares most cells, of another ``by``."""
+def _near(a: str, b: str, num: int, den: int):
+    return F.greatest(a, b) * num <= F.least(a, b) * den
+
+
+def _hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Each list's members with its hub, the member with most company, if their components differ."""
     company = F.count("*").over(Window.partitionBy("doc"))
-    hub = F.max(F.struct("company", (-F.col("doc")).alias("d"), "n", by, "doc")).over(Window.partitionBy("key"))
+    hub = F.max(F.struct("company", (-F.col("doc")).alias("d"), "n", "component", "doc")).over(Window.partitionBy("key"))
     rows = lists.withColumn("company", company).withColumn("hub", hub)
-    far = F.col(by) != F.col(f"hub.{by}")
-    near = F.greatest("n", "hub.n") * num <= F.least("n", "hub.n") * den
-    return rows.where(far & near).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    return rows.where((F.col("component") != F.col("hub.component")) & _near("n", "hub.n", num, den)).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
+
+
+def _all_pairs(lists: DataFrame) -> int:
+    """How many pairs the lists hold, at most."""
+    return lists.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
+
+
+def _list_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a list whose components differ."""
+    l, r = lists.alias("l"), lists.alias("r")
+    far = (F.col("l.key") == F.col("r.key")) & (F.col("l.doc") < F.col("r.doc")) & (F.col("l.component") != F.col("r.component"))
+    return l.join(r, far & _near("l.n", "r.n", num, den)).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,29 +244,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = written(base.where("doc_id IS NOT NULL").join(reps, "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "members")
 
-    keyed = postings(docs, k, plan).withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1").drop("held")
-    lists = written(keyed, "lists")
-    lists_of = lists.join(members.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct()
-    own = written(lists_of, "lists")
-    discard(lists)
-    links, joined = None, None
+    keyed = postings(docs, k, plan).withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1")
+    # Of keys that two similar sets share, the rarest stays in both if each drops its need - 1 most
+    # frequent ones: a set whose other keys are its own drops out, however common its passages are.
+    rank = F.row_number().over(Window.partitionBy("doc", "band").orderBy(F.col("held").desc(), F.col("key").desc()))
+    lists = keyed.withColumn("rank", rank).where("rank >= need").select("key", "doc", "n")
+    own = written(lists.join(members.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct(), "lists")
+    links = joined = None
     now = own.withColumn("component", F.col("doc"))
-    for _ in range(3):
-        found = verified(_hub_pairs(now, num, den, "component"), docs, k, num, den)
+    for turn in range(4):
+        # Hubs first; all pairs of what is apart when they are few beside the lists, or at last.
+        few = turn == 3 or turn > 0 and _all_pairs(now) <= 2 * own.count() + 1000
+        found = verified(_list_pairs(now, num, den) if few else _hub_pairs(now, num, den), docs, k, num, den)
         links = found if links is None else links.unionByName(found)
         joined = written(components(links), "joined")
-        after = written(_apart(own, joined), "apart")
-        if not after.limit(1).count():
-            now = None
+        if few:
+            break
+        now = written(_apart(own, joined), "apart")
+        if not now.limit(1).count():
             break
-        now = after
-    if now is not None:
-        l, r = now.alias("l"), now.alias("r")
-        rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc") < F.col("r.doc")) & (F.col("l.component") != F.col("r.component"))
-                      & (F.greatest("l.n", "r.n") * num <= F.least("l.n", "r.n") * den))
-        pairs = rest.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
-        links = links.unionByName(verified(pairs, docs, k, num, den))
-        joined = written(components(links), "joined")
     whole = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc_id").alias("m"), F.coalesce("component", "rep").alias("component_id")).groupBy("m").agg(F.min("component_id").alias("component_id"))
     return base.join(whole, base["doc_id"] == whole["m"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
