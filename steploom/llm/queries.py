@@ -6,7 +6,10 @@ from . import chat, embedding_dedup, jaccard, line_dedup, lm_scoring, mixing, pa
 
 
 def queries() -> dict:
+    from corpus_pipeline import run
+
     return {
+        "pipeline": run,
         "op1_mixing": mixing.op1_mixing,
         "op2_chat_format": chat.op2_chat_format,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
