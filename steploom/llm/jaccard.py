@@ -15,8 +15,8 @@ are exact, not approximate: no similar pair is lost.
 Only connectivity is asked for, so groups of copies need no pair for each two members. Equal sets
 are one class. In each list the member with most company is the hub; pairs with hubs are verified
 first and joined into components. What is then left are lists that still hold more than one
-component: hubs are chosen again among what is apart, and last all pairs of different components
-in a list are verified. Verification counts the intersection of the full shingle sets.
+component: pairs of light lists are verified each, and what heavy lists hold together is counted
+in tiles of bounded size. Verification counts the intersection of the full shingle sets.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ from .shingles import mixed, shingle_set, word_hashes
 LIST_COST = 4
 #: Subsets of sets above this size are never cheaper.
 LARGEST_SMALL = 32
+#: Lists and shingles of at most so many sets are light: their pairs are enumerated.
+LIGHT = 8
+#: Documents in a block of a group; a tile counts BLOCK * BLOCK intersections.
+BLOCK = 2048
 
 
 class Plan:
@@ -216,11 +220,6 @@ def _hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return rows.where((F.col("component") != F.col("hub.component")) & _near("n", "hub.n", num, den)).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def _all_pairs(lists: DataFrame) -> int:
-    """How many pairs the lists hold, at most."""
-    return lists.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-
-
 def _list_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a list whose components differ."""
     l, r = lists.alias("l"), lists.alias("r")
@@ -250,24 +249,103 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rank = F.row_number().over(Window.partitionBy("doc", "band").orderBy(F.col("held").desc(), F.col("key").desc()))
     lists = keyed.withColumn("rank", rank).where("rank >= need").select("key", "doc", "n")
     own = written(lists.join(members.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct(), "lists")
-    links = joined = None
-    now = own.withColumn("component", F.col("doc"))
-    for turn in range(4):
-        # Hubs first; all pairs of what is apart when they are few beside the lists, or at last.
-        few = turn == 3 or turn > 0 and _all_pairs(now) <= 2 * own.count() + 1000
-        found = verified(_list_pairs(now, num, den) if few else _hub_pairs(now, num, den), docs, k, num, den)
-        links = found if links is None else links.unionByName(found)
-        joined = written(components(links), "joined")
-        if few:
-            break
-        now = written(_apart(own, joined), "apart")
-        if not now.limit(1).count():
-            break
+    links = verified(_hub_pairs(own.withColumn("component", F.col("doc")), num, den), docs, k, num, den)
+    apart = written(_apart(own, written(components(links), "joined")), "apart")
+    held = apart.withColumn("held", F.count("*").over(Window.partitionBy("key")))
+    links = links.unionByName(verified(_list_pairs(held.where(f"held <= {LIGHT}"), num, den), docs, k, num, den))
+    links = links.unionByName(_heavy_links(held.where(f"held > {LIGHT}"), docs, k, num, den))
+    joined = written(components(links), "joined")
     whole = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc_id").alias("m"), F.coalesce("component", "rep").alias("component_id")).groupBy("m").agg(F.min("component_id").alias("component_id"))
     return base.join(whole, base["doc_id"] == whole["m"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _heavy_links(lists: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links among documents that long lists hold together, as spanning forests of tiles.
+
+    Documents that long lists connect form a group; a group is dealt into blocks of bounded size
+    and each two blocks are a tile, which counts all its intersections at once. So no pair is a
+    row, and a large group is many tasks.
+    """
+    stars = lists.select(F.min("doc").over(Window.partitionBy("key")).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
+    groups = written(components(stars), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    texts = docs.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        t = t.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        ids = np.array(t.column("doc_id").to_pylist(), np.int64)
+        first = int((np.array(t.column("block").to_pylist()) == t.column("i")[0].as_py()).sum())
+        sets = [shingle_set(w, k) for s in range(0, t.num_rows, 256) for w in word_hashes([x.as_py() for x in t.column("text")[s:s + 256]])]
+        a, b = tile_links(sets, None if own else first, num, den)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    return written(texts.groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "links")
+
+
+def tile_links(sets: list[np.ndarray], first: int | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a tile: within ``sets``, or between the first ``first`` and the rest.
+
+    Intersections are counted shingle by shingle: a light one, in few sets, adds to the pairs of
+    its list; heavy ones are columns of a matrix whose product counts all pairs at once.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    cut = len(sets) if first is None else first
+    rows = np.repeat(np.arange(len(sets)), n)
+    values, place, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    lo = 0 if first is None else cut
+    count = np.zeros((cut, len(sets) - lo), np.int32)
+    order = np.argsort(place, kind="stable")
+    order = order[df[place[order]] > 1]
+    member, of = rows[order], place[order]
+    light = df[of] <= LIGHT
+    m, o = member[light], of[light]
+    for step in range(1, LIGHT):  # the members of one list stand together, in ascending order
+        if step >= len(m):
+            break
+        same = o[step:] == o[:-step]
+        u, v = m[:-step][same], m[step:][same]
+        keep = (u < cut) & (v >= lo)
+        np.add.at(count, (u[keep], v[keep] - lo), 1)
+    m, o = member[~light], of[~light]
+    heavy, column = np.unique(o, return_inverse=True)
+    for at in range(0, len(heavy), 2048):
+        pick = (column >= at) & (column < at + 2048)
+        x = np.zeros((len(sets), min(2048, len(heavy) - at)), np.float32)
+        x[m[pick], column[pick] - at] = 1
+        count += (x[:cut] @ x[lo:].T).astype(np.int32)
+    near = den * count.astype(np.int64) >= num * (n[:cut, None] + n[None, lo:] - count)
+    u, v = np.nonzero(near & (count > 0))
+    v = v + lo
+    keep = u < v
+    return _forest(len(sets), u[keep], v[keep])
+
+
+def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes: breadth first, so that links beyond the forest cost little."""
+    order = np.argsort(np.concatenate((u, v)), kind="stable")
+    to = np.concatenate((v, u))[order]
+    at = np.searchsorted(np.concatenate((u, v))[order], np.arange(n + 1))
+    seen, a, b = np.zeros(n, bool), [], []
+    for start in np.flatnonzero(np.diff(at)).tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            new = to[at[x]:at[x + 1]]
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
+            a += [x] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _apart(lists: DataFrame, joined: DataFrame) -> DataFrame:
     """The lists that still hold more than one component, with the component of each member."""
     rows = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
