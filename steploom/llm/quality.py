@@ -38,6 +38,10 @@ def _repeat_words(w: Column) -> Column:
     windows [p, p + 2] are then counted as a union: three words for the last, the step to the
     next, or three, for the others. All of it is O(n log n) in the length of the text.
     """
+    return F.transform(F.array(w), _repeats_in)[0]
+
+
+def _repeats_in(w: Column) -> Column:
     n = F.size(w)
     tri = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p")))
     return F.when(n < 4, F.lit(0)).otherwise(F.aggregate(
@@ -56,19 +60,26 @@ def _union(p: Column) -> Column:
                        lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
 
 
+def _counts(text: Column) -> Column:
+    """A struct of the counts of one text; texts, words and lines are bound once, as lambda variables."""
+    bound = F.array(F.struct(text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l")))
+    return F.transform(bound, lambda b: F.struct(
+        F.size(b["w"]).cast("long").alias("n_words"),
+        F.char_length(F.regexp_replace(b["t"], BLANKS, "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(b["t"], r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.when(F.size(b["l"]) < 2, 0).otherwise(F.size(b["l"]) - F.size(F.array_distinct(b["l"]))).cast("long").alias("n_dup_lines"),
+        _repeat_words(b["w"]).cast("long").alias("n_repeat_words"),
+        F.size(b["l"]).cast("long").alias("n_lines"),
+        F.char_length(F.regexp_replace(b["t"], r"[^\p{Lu}]+", "")).cast("long").alias("n_upper")))[0]
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+
+
 def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns with the counts of the rules; null text has none of anything."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    one = docs.select(*keep, text.alias("_q_text"), words(text).alias("_q_words"), lines.alias("_q_lines"))
-    return one.select(
-        *keep, F.size("_q_words").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("_q_text", BLANKS, "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("_q_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.when(F.size("_q_lines") < 2, 0).otherwise(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_q_words")).cast("long").alias("n_repeat_words"),
-        F.size("_q_lines").cast("long").alias("n_lines"),
-        F.char_length(F.regexp_replace("_q_text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"))
+    one = docs.select(*keep, _counts(F.coalesce(F.col(text_col), F.lit(""))).alias("_q"))
+    return one.select(*keep, *[F.col("_q")[c].alias(c) for c in COUNTS])
 
 
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
@@ -146,9 +157,23 @@ def good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     """
     held = docs.select("doc_id", "text", stratum).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     cutoffs = written(calibrate(written(measured(held, ["doc_id", stratum]), "quality"), labels, stratum, risk, delta), "cutoffs")
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_q_row")
-    scored = measured(docs.select(own, F.col("text").alias("_q_in"), F.col(stratum).alias("_q_by")), ["_q_row", "_q_by"], "_q_in")
-    return judged(scored, cutoffs, "_q_by").where("kept").select("_q_row.*")
+    c = cutoffs.select(F.col("stratum").alias("_q_stratum"), *[F.col(k).alias(f"_q_{k}") for k in GRIDS])
+    both = docs.withColumn("_q_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(c, "_q_stratum", "left")
+    # The counts are made once, as fields of the one row that the filter keeps or drops.
+    row = F.struct(*[F.col(x).alias(x) for x in docs.columns], _counts(F.coalesce(F.col("text"), F.lit(""))).alias("_q_counts"), *[F.col(f"_q_{k}") for k in GRIDS])
+    return both.select(F.explode(F.filter(F.array(row), _passes)).alias("_q_row")).select(*[F.col("_q_row")[x].alias(x) for x in docs.columns])
+
+
+def _passes(x: Column) -> Column:
+    """BASE_FAILED and RULES, over the fields of a row."""
+    q = x["_q_counts"]
+    one = F.lit(1).cast("long")
+    rates = {"symbols": q["n_symbols"] / F.greatest(q["word_chars"], one), "dup_lines": q["n_dup_lines"] / F.greatest(q["n_lines"], one),
+             "repeats": q["n_repeat_words"] / F.greatest(q["n_words"], one), "shouting": q["n_upper"] / F.greatest(q["word_chars"], one)}
+    bad = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    for k, r in rates.items():
+        bad = bad | F.coalesce(r >= x[f"_q_{k}"], F.lit(False))
+    return ~bad
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
