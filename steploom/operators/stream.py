@@ -63,7 +63,7 @@ class Stream:
             df = df.withColumn(k, c)
         return replace(self, df=df, keys=(*self.keys, *[k for k in keys], *computed))
 
-    def seeing(self, value: Value, **names: str) -> Stream:
+    def seeing(self, value: Value, /, **names: str) -> Stream:
         """Each event with another value as of its instant: ``seeing(v, new_name='field')``."""
         on = [k for k in value.keys if k in self.df.columns]
         return replace(self, df=as_of(self.df, value.df, on, {old: new for new, old in names.items()}))
@@ -96,7 +96,7 @@ class Stream:
         c = F.col(c) if isinstance(c, str) else c
         whole = dict(self.df.select(c.alias("x")).dtypes)["x"] in ("int", "bigint", "smallint", "tinyint")
         if not self.keys and kind in ("sum", "count", "min", "max"):
-            rows = prefix(self.df.withColumn("_x", c), ["ts", "seq"], {name: (kind, F.col("_x"))}, self.bucket).groupBy("ts").agg(F.max_by(name, "seq").alias(name))
+            rows = prefix(self.df.select("ts", "seq", c.alias("_x")), ["ts", "seq"], {name: (kind, F.col("_x"))}, self.bucket).groupBy("ts").agg(F.max_by(name, "seq").alias(name))
             return Value(rows, (), name, self.bucket).distinct_until_changed()
         w = by_time(self.keys).rangeBetween(Window.unboundedPreceding, 0)
         rows = self.df.withColumn(name, over(kind, c, w, whole)).select(*self.keys, "ts", name).dropDuplicates([*self.keys, "ts"])
