@@ -17,6 +17,15 @@ CACHE_ENTRIES = 800_000
 #: A blank between blanks, where a cut before it would part one token.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 _open: dict[str, TextEncoder] = {}
+#: One word of Latin letters, which every pre-tokenizer here keeps whole, and a mark after it.
+_WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters in which byte-level vocabularies write bytes: printable ones as they are, the rest from U+0100 up."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
 class TextEncoder:
@@ -31,11 +40,34 @@ class TextEncoder:
         # Words that keep the blank before them are cut before a blank, others at any blank.
         self.spaced = self.tok.encode(" a b", add_special_tokens=False).ids != self.tok.encode("a b", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.lower = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("A") == "a"
+        probe = [" stra\u00dfe" if self.spaced else "stra\u00dfe", "Ein", "\u00c9t\u00e9,", "to.", "x"]
+        self.direct = True
+        self.direct = self._new(probe) == self._raw(probe)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         out = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in out]
 
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces: plain words by the tokenizer's model itself, others by all of the tokenizer."""
+        out: list[bytes | None] = []
+        rest, model, letters, lower = [], self.tok.model, self.letters, self.lower
+        for p in pieces:
+            m = _WORD.fullmatch(p) if self.direct else None
+            if m is None:
+                rest.append(p)
+                out.append(None)
+                continue
+            word = m[1] + (m[2].lower() if lower else m[2])
+            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+            if m[3]:
+                ids += [t.id for t in model.tokenize(m[3])]
+            out.append(array("I", ids).tobytes())
+        others = iter(self._raw(rest))
+        return [next(others) if x is None else x for x in out]
+
     def _pieces(self, text: str) -> list[str]:
         if not self.spaced:
             return text.split()
@@ -62,7 +94,7 @@ class TextEncoder:
             self.cache.clear()
         cache = self.cache
         new = list({p for x in held if isinstance(x, list) for p in x if p not in cache})
-        cache.update(zip(new, self._raw(new)))
+        cache.update(zip(new, self._new(new)))
         for x in held:
             yield b"".join(map(cache.__getitem__, x)) if isinstance(x, list) else self._raw([x])[0]
 
