@@ -51,9 +51,12 @@ class TextEncoder:
         return [array("I", e.ids).tobytes() for e in out]
 
     def _new(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces: plain words by the tokenizer's model itself, others by all of the tokenizer."""
+        """The ids of distinct pieces: plain words by the tokenizer's model itself, others by all of the tokenizer.
+
+        A word is remembered in its bare form too, so its form with a mark or a capital costs no encoding.
+        """
         out: list[bytes | None] = []
-        rest, model, letters, lower = [], self.tok.model, self.letters, self.lower
+        rest, model, letters, lower, known = [], self.tok.model, self.letters, self.lower, self.cache
         for p in pieces:
             m = _WORD.fullmatch(p) if self.direct else None
             if m is None:
@@ -61,10 +64,12 @@ class TextEncoder:
                 out.append(None)
                 continue
             word = m[1] + (m[2].lower() if lower else m[2])
-            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
             if m[3]:
-                ids += [t.id for t in model.tokenize(m[3])]
-            out.append(array("I", ids).tobytes())
+                ids += known.get(m[3]) or known.setdefault(m[3], array("I", [t.id for t in model.tokenize(m[3])]).tobytes())
+            out.append(ids)
         others = iter(self._raw(rest))
         return [next(others) if x is None else x for x in out]
 
