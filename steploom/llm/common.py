@@ -34,22 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again with the same schema."""
+    """``df`` written as Parquet to the shared folder and read again with the same schema.
+
+    The files go when the application ends, as lazy results may read them until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._steploom_path = path
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Remove written tables that no later plan reads."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._steploom_path)
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path.getFileSystem(conf).delete(path, True)
+        fs, at = _hadoop(df.sparkSession, df._steploom_path)
+        fs.delete(at, True)
 
 
 def words_of(text: Column) -> Column:
