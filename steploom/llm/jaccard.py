@@ -184,9 +184,7 @@ def postings(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets have ``den * intersection >= num * union``."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id"), "texts")
+    texts = docs.select("doc_id", "text")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -249,11 +247,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rank = F.row_number().over(Window.partitionBy("doc", "band").orderBy(F.col("held").desc(), F.col("key").desc()))
     lists = keyed.withColumn("rank", rank).where("rank >= need").select("key", "doc", "n")
     own = written(lists.join(members.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct(), "lists")
-    links = verified(_hub_pairs(own.withColumn("component", F.col("doc")), num, den), docs, k, num, den)
+    # The only texts that verification can ask for, moved once.
+    texts = written(docs.join(own.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"), "texts")
+    links = verified(_hub_pairs(own.withColumn("component", F.col("doc")), num, den), texts, k, num, den)
     apart = written(_apart(own, written(components(links), "joined")), "apart")
     held = apart.withColumn("held", F.count("*").over(Window.partitionBy("key")))
-    links = links.unionByName(verified(_list_pairs(held.where(f"held <= {LIGHT}"), num, den), docs, k, num, den))
-    links = links.unionByName(_heavy_links(held.where(f"held > {LIGHT}"), docs, k, num, den))
+    links = links.unionByName(verified(_list_pairs(held.where(f"held <= {LIGHT}"), num, den), texts, k, num, den))
+    links = links.unionByName(_heavy_links(held.where(f"held > {LIGHT}"), texts, k, num, den))
     joined = written(components(links), "joined")
     whole = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc_id").alias("m"), F.coalesce("component", "rep").alias("component_id")).groupBy("m").agg(F.min("component_id").alias("component_id"))
