@@ -395,7 +395,10 @@ def _(spark, d):
     return fold(("user_id",), tagged(s, fields=("event_type", "cents")), step, 0, "long").df
 
 
-@query("ema")
+@query("ema", f"""WITH RECURSIVE e AS ({E_SQL.split(' AS (', 1)[1][:-1]}), l AS (SELECT user_id, ts, CAST(cents AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n FROM e),
+r AS (SELECT user_id, ts, n, x AS total, x AS v FROM l WHERE n = 1 UNION ALL SELECT l.user_id, l.ts, l.n, r.total + l.x, CASE WHEN l.n <= 12 THEN (r.total + l.x) / l.n ELSE 2.0::DOUBLE / 13 * l.x + (1 - 2.0::DOUBLE / 13) * r.v END
+  FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1),
+c AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM r) SELECT user_id, ts, round(v, 4) AS value FROM c WHERE v IS DISTINCT FROM was""")
 def _(spark, d):
     return ema(per_user(spark, d), "cents", 12).df.select("user_id", "ts", F.round("value", 4).alias("value"))
 
