@@ -39,6 +39,8 @@ LIST_COST = 4
 LARGEST_SMALL = 32
 #: Lists and shingles of at most so many sets are light: their pairs are enumerated.
 LIGHT = 8
+#: Ids of candidates are broadcast up to this size; beyond it they and the texts are shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Documents in a block of a group; a tile counts BLOCK * BLOCK intersections.
 BLOCK = 2048
 
@@ -247,8 +249,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rank = F.row_number().over(Window.partitionBy("doc", "band").orderBy(F.col("held").desc(), F.col("key").desc()))
     lists = keyed.withColumn("rank", rank).where("rank >= need").select("key", "doc", "n")
     own = written(lists.join(members.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct(), "lists")
-    # The only texts that verification can ask for, moved once.
-    texts = written(docs.join(own.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"), "texts")
+    # The only texts that verification can ask for: picked where they lie if the ids are few, else moved once.
+    ids = written(own.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    if ids.count() * 16 <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    texts = written(docs.join(ids, "doc_id"), "texts")
     links = verified(_hub_pairs(own.withColumn("component", F.col("doc")), num, den), texts, k, num, den)
     apart = written(_apart(own, written(components(links), "joined")), "apart")
     held = apart.withColumn("held", F.count("*").over(Window.partitionBy("key")))
