@@ -16,6 +16,9 @@ from collections.abc import Iterator
 CACHE_ENTRIES = 800_000
 #: A blank between blanks, where a cut before it would part one token.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
+#: Blanks to ``str.split``, but not to the tokenizers, which give them ids; and a run of anything but the tokenizers' blanks.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+_UNSPACED = re.compile(r"[\S\x1c-\x1f]+")
 _open: dict[str, TextEncoder] = {}
 #: One word of Latin letters, which every pre-tokenizer here keeps whole, and a mark after it.
 _WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
@@ -75,7 +78,7 @@ class TextEncoder:
 
     def _pieces(self, text: str) -> list[str]:
         if not self.spaced:
-            return text.split()
+            return _UNSPACED.findall(text) if _SEPARATOR.search(text) else text.split()
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 

@@ -133,6 +133,16 @@ def test_pieces_give_the_tokenizers_ids(name):
         assert np.frombuffer(raw, "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_keep_every_blank_and_control_character(name):
+    P = pytest.importorskip("public_tokenizers")
+    e = TextEncoder(P.path(name))
+    marks = [c for c in map(chr, range(0x3100)) if c.isspace() or ord(c) < 33 or 127 <= ord(c) < 161]
+    texts = ["ab\x1e\x1fcd", *[p.format(c) for c in marks for p in ("{}", "a{}b", "a {} b", "a{} b", "a {}b", "a{0}{0}b", "a{0}\n{0}b")]]
+    for text, raw in zip(texts, e.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @given(st.lists(st.integers(0, 49_000), max_size=3000))
 @settings(max_examples=30, deadline=None)
 def test_chunks_rebuild_the_stream(ids):
