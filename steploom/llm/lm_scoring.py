@@ -8,7 +8,7 @@ from left to right; the state after a token is the longest history that is a sta
 
 No machine holds the model. Documents are gathered into blocks of bounded size, written as
 vocabularies and token indexes. Each block sends its distinct n-grams, as sorted hashes with their
-training counts, cut by hash range into packets; each range is merged by one task, which answers
+training counts, cut by hash range into packets (keys as steps from one to the next, compressed); each range is merged by one task, which answers
 every block with the counts of just its n-grams. So a block gets the part of the automaton that its
 texts can reach, and counts of frequent n-grams are combined before they are sent.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .shingles import mixed, word_hashes
 
-ORDER, PRIOR, ADD = 2, 100.0, 0.1
+ORDER, PRIOR, ADD = 3, 100.0, 0.1
 BLOCK_TOKENS, RANGE_KEYS = 1_000_000, 2_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -117,6 +117,18 @@ class Block:
         return before
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes, after their length."""
+    x = np.ascontiguousarray(x, "<u8")
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
 def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """``(range, from, to)`` of sorted keys cut by their first bits, without empty ranges."""
     if not len(keys):
@@ -135,11 +147,11 @@ def packets(made: DataFrame, order: int, bits: int) -> DataFrame:
             for row in b.to_pylist():
                 own = Block(row, order)
                 starts = int((~own.held).sum())
-                rows = [(own.block, 0, 0, b"", np.array([starts], "<u4").tobytes())]
+                rows = [(own.block, 0, 0, b"", _packed([starts]))]
                 for n in range(1, order + 1):
                     keys, _, counts = own.distinct(n)
                     for part, lo, hi in _parts(keys, bits):
-                        rows.append((own.block, n, part, keys[lo:hi].astype("<u8").tobytes(), counts[lo:hi].astype("<u4").tobytes()))
+                        rows.append((own.block, n, part, _packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), _packed(counts[lo:hi])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["block", "kind", "part", "keys", "counts"])
 
     return made.select("block", "doc_ids", "held", "sizes", "vocabulary", "tokens").mapInArrow(run, PACKETS)
@@ -150,16 +162,14 @@ def merged(sent: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         kind, part = t.column("kind")[0].as_py(), t.column("part")[0].as_py()
-        keys = [np.frombuffer(x.as_py(), "<u8") for x in t.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("counts")]).astype(np.int64)
-        if kind == 0:
-            keys = [np.zeros(1, np.uint64)] * t.num_rows
+        keys = [np.cumsum(_unpacked(x.as_py())) if kind else np.zeros(1, np.uint64) for x in t.column("keys")]
+        counts = np.concatenate([_unpacked(x.as_py()) for x in t.column("counts")]).astype(np.int64)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, place, counts)
         answer, at = [], 0
         for k in keys:
-            answer.append(total[place[at:at + len(k)]].astype("<u8").tobytes())
+            answer.append(_packed(total[place[at:at + len(k)]]))
             at += len(k)
         rest = [0] * (t.num_rows - 1)
         return pa.table({"block": t.column("block"), "kind": t.column("kind"), "part": t.column("part"), "counts": pa.array(answer, pa.binary()),
@@ -223,7 +233,7 @@ def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, id_col: st
         out = []
         got = {}
         for kind, part, raw in sorted(zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("counts").to_pylist()), key=lambda r: r[:2]):
-            got.setdefault(kind, []).append(np.frombuffer(raw, "<u8").astype(np.int64))
+            got.setdefault(kind, []).append(_unpacked(raw).astype(np.int64))
         for row in left.to_pylist():
             own = Block(row, order)
             counts = {k: np.concatenate(v) for k, v in got.items()}

@@ -151,6 +151,33 @@ def test_lm_against_brute_force(docs):
     assert lm_scoring.scores(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_longer_histories_against_brute_force(docs, order):
+    assert lm_scoring.ORDER >= 3
+    table = [(i, t) for i, t in enumerate(["a b a c", "A b c", "", None, "c c c a b a b", "zz a b c a"] * 5 + ["b a b zz", "a b a b"])]
+    tok = {i: ["<s>"] * (order - 1) + [w.lower() for w in WORD.findall(t or "")] + ["</s>"] for i, t in table}
+    counts = {}
+    for i, w in tok.items():
+        for j in range(order - 1, len(w)) if zlib.crc32(str(i).encode()) % 10 else ():
+            for n in range(1, order + 1):
+                counts[tuple(w[j - n + 1:j + 1])] = counts.get(tuple(w[j - n + 1:j + 1]), 0) + 1
+    after = {}
+    for g, c in counts.items():
+        after[g[:-1]] = after.get(g[:-1], 0) + c
+    types = sum(len(g) == 1 for g in counts)
+    want = {}
+    for i, w in tok.items():
+        want[i] = 0.0
+        for j in range(order - 1, len(w)):
+            p = (counts.get((w[j],), 0) + 0.1) / (after[()] + 0.1 * (types + 1))
+            for n in range(2, order + 1):
+                g = tuple(w[j - n + 1:j + 1])
+                p = (counts.get(g, 0) + 5.0 * p) / (after.get(g[:-1], 0) + 5.0)
+            want[i] += log10(p)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs(table), order=order, prior=5.0, block_tokens=20, range_keys=30).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_packing(docs):
     table = [(i, "word salad " * (i * 37 % 900)) for i in range(60)] + [(60, None), (3, "twice")]
     got = [r.asDict() for r in packing.pack(docs(table), P.path("byte_bpe_50k.json"), 1).collect()]
