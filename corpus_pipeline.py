@@ -32,12 +32,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: its component's least id, one row of it if rows repeat."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard_components(docs, k=5, num=80, den=100)
-    kept = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed).select(*COLUMNS)
+    """One document of each group stays: its component's least id.
+
+    A document is a distinct pair of id and text: different texts under one id, or under none, are
+    compared as documents of their own, and rows that repeat a pair are one document.
+    """
+    docs = _keyed(docs.select(*COLUMNS))
+    found = jaccard_components(docs, k=5, num=80, den=100, id_col="_key")
+    kept = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_key"))
+    return docs.join(kept, "_key", "left_semi").select(*COLUMNS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """One row a document, with ``_key``: its id, or a number over all ids where the id is null or another text has it."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd"))
+    odd = written(odd, "odd-ids")
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_odd"))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    hashed = docs.join(odd, same, "left_semi").withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    texts = hashed.groupBy("doc_id", "_hash").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    over = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0).cast("long"))).first()[0] + 1
+    texts = written(texts.select("doc_id", "_hash", "_row.*", (F.monotonically_increasing_id() + F.lit(over)).alias("_over")), "odd-texts")
+    least = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_hash").alias("_least"))
+    key = F.when(F.col("_hash") == F.col("_least"), F.col("doc_id")).otherwise(F.col("_over"))
+    texts = texts.join(least, "doc_id", "left").select(*COLUMNS, key.alias("_key"))
+    return docs.join(odd, same, "left_anti").withColumn("_key", F.col("doc_id")).unionByName(texts)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
