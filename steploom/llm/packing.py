@@ -3,9 +3,9 @@
 Token streams are cut into full windows first; what is left of each document waits in a pool. A
 pool that fills a group of windows is partitioned into near-equal sums: every piece starts as a
 partition of its own, and the two partitions with the largest spreads are merged with opposing
-imbalances (the fullest window of one onto the emptiest of the other) until one is left. A window
-that exceeds the capacity by a few tokens hands them to windows with room, as cuts are free here;
-where cutting is not allowed, the group gets one window more and is differenced again.
+imbalances (the fullest window of one onto the emptiest of the other) until one is left. If a window
+exceeds the capacity, the group gets one window more and is differenced again; where cutting is
+allowed, such a window hands its excess to windows with room instead.
 """
 
 from __future__ import annotations
@@ -89,8 +89,8 @@ def windows(lengths: list[int], capacity: int = CAPACITY, cut: bool = True) -> l
 class _Packer:
     """Pieces of one partition; a piece is (doc_id, start, ids, tokens of its document)."""
 
-    def __init__(self, first: int, capacity: int, group: int):
-        self.next, self.capacity, self.room = first, capacity, group * capacity
+    def __init__(self, first: int, capacity: int, group: int, cut: bool):
+        self.next, self.capacity, self.room, self.cut = first, capacity, group * capacity, cut
         self.pool, self.held = [], 0
         self.rows: list[tuple] = []
 
@@ -113,7 +113,7 @@ class _Packer:
                 self.wait((doc_id, start + fits, ids[fits:], n))
 
     def flush(self) -> None:
-        for w in windows([len(p[2]) for p in self.pool], self.capacity) if self.pool else []:
+        for w in windows([len(p[2]) for p in self.pool], self.capacity, self.cut) if self.pool else []:
             own = ((self.pool[i], s, e) for i, s, e in w)
             self.put([(doc_id, start + s, ids[s:e], n) for (doc_id, start, ids, n), s, e in own])
         self.pool, self.held = [], 0
@@ -134,20 +134,20 @@ class _Packer:
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, group: int = GROUP,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cut: bool = False) -> DataFrame:
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     A document's ids are its whole text's and ``end_id``; a null or empty text is ``end_id`` alone.
     Each id lies in exactly one piece. Rows that repeat are packed each for itself. Sequences
     never cross partitions (their ids start at the partition's number times 2^40), so packing
-    moves no data; at most one group a partition is not full. ``ids`` holds little-endian
-    unsigned 32-bit ids.
+    moves no data; at most one group a partition is not full. Groups whose windows exceed the
+    capacity rise in windows, or with ``cut`` in cuts. ``ids`` holds little-endian unsigned 32-bit ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], "<u4")
-        packer = _Packer(TaskContext.get().partitionId() << 40, capacity, group)
+        packer = _Packer(TaskContext.get().partitionId() << 40, capacity, group, cut)
         for b in batches:
             texts = (x.as_py() for x in b.column(1))
             for doc_id, raw in zip(b.column(0), enc.encode(texts)):
