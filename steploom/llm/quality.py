@@ -7,6 +7,10 @@ from lenient to strict. A cutoff passes if the exact binomial tail shows that it
 the Clopper-Pearson bound with a Bonferroni correction; within one stratum and rule the cutoffs
 are tested in fixed sequence and testing stops at the first that fails, so no further correction
 is due. The strictest cutoff that passed is used; where none passed, the rule rejects nothing.
+
+A stratum can be judged only from n good labels up, where (1 - risk)^n <= delta / (strata * rules):
+574 with 4 strata and the defaults. Strata with fewer are unjudged: only the base rules reject there.
+The risk is certified for each rule; that of the verdict, the union of four rules, is at most their sum.
 """
 
 from __future__ import annotations
