@@ -1,8 +1,10 @@
 """The same operators on unbounded input, with Structured Streaming.
 
 Stateless operators are the batch ones: ``where`` and ``select`` of a Stream over ``readStream``
-run as they are. Stateful ones keep their state per key, by event time, and answer when the
+run as they are. ``sliding_sum`` keeps its state per key, by event time, and answers when the
 watermark has passed an instant, so rows of one instant count as one whatever their batch.
+``listener`` has no watermark: it gives the last state of each batch and key, in order of arrival
+between batches, so what it gives depends on the batches and changes within one are not seen.
 """
 
 from __future__ import annotations
