@@ -1,11 +1,12 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Token streams are cut into full windows first; what is left of each document waits in a pool. A
-pool that fills a group of windows is partitioned into near-equal sums: every piece starts as a
-partition of its own, and the two partitions with the largest spreads are merged with opposing
+Token streams are cut into full windows first; what is left of each document waits, whole, in a
+pool. A pool that fills a group of windows is partitioned into near-equal sums: every piece starts as
+a partition of its own, and the two partitions with the largest spreads are merged with opposing
 imbalances (the fullest window of one onto the emptiest of the other) until one is left. If a window
 exceeds the capacity, the group gets one window more and is differenced again; where cutting is
-allowed, such a window hands its excess to windows with room instead.
+allowed, such a window hands its excess to windows with room instead. Partitions are kept as sums
+alone; which piece went where is read from the merges, last to first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import encoder
 
-CAPACITY, GROUP = 2048, 32
+CAPACITY, GROUP = 2048, 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -35,22 +36,29 @@ def differencing(lengths: list[int], k: int) -> list[list[int]]:
     for i, n in enumerate(lengths):
         sums = np.zeros(k, np.int64)
         sums[0] = n
-        heap.append((-n, i, sums, [[i], *[[] for _ in range(k - 1)]]))
+        heap.append((-n, i, sums))
     heapify(heap)
-    turn = len(lengths)
+    merged = []
     while len(heap) > 1:
-        _, _, a, x = heappop(heap)
-        _, _, b, y = heappop(heap)
+        _, a, first = heappop(heap)
+        _, b, second = heappop(heap)
         # Both are sorted, fullest first: the fullest of one meets the emptiest of the other.
-        sums = a + b[::-1]
+        sums = first + second[::-1]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
-        y.reverse()
-        bins = [p + q for p, q in zip(x, y)]
-        low = sums[-1]
-        heappush(heap, (int(low - sums[0]), turn, sums - low, [bins[i] for i in order]))
-        turn += 1
-    return heap[0][3]
+        heappush(heap, (int(sums[-1] - sums[0]), len(lengths) + len(merged), sums - sums[-1]))
+        merged.append((a, b, order))
+    # From the last merge back: which window each place of a partition has become.
+    windows_of = {len(lengths) + len(merged) - 1: np.arange(k)} if merged else {0: np.arange(k)}
+    for at in range(len(merged) - 1, -1, -1):
+        a, b, order = merged[at]
+        own = np.empty(k, np.int64)
+        own[order] = windows_of.pop(len(lengths) + at)
+        windows_of[a], windows_of[b] = own, own[::-1]
+    found: list[list[int]] = [[] for _ in range(k)]
+    for i in range(len(lengths)):
+        found[windows_of[i][0]].append(i)
+    return found
 
 
 def windows(lengths: list[int], capacity: int = CAPACITY, cut: bool = True) -> list[list[tuple[int, int, int]]]:
@@ -102,15 +110,11 @@ class _Packer:
             self.wait((doc_id, n - n % cap, ids[n - n % cap:], n))
 
     def wait(self, piece: tuple) -> None:
-        """Into the pool; the piece that fills it is cut, so that a group is exactly full."""
-        doc_id, start, ids, n = piece
-        fits = self.room - self.held
-        self.pool.append((doc_id, start, ids[:fits], n))
-        self.held += min(fits, len(ids))
-        if self.held == self.room:
+        """Into the pool, whole; a pool that has no room for it is packed first."""
+        if self.held + len(piece[2]) > self.room:
             self.flush()
-            if len(ids) > fits:
-                self.wait((doc_id, start + fits, ids[fits:], n))
+        self.pool.append(piece)
+        self.held += len(piece[2])
 
     def flush(self) -> None:
         for w in windows([len(p[2]) for p in self.pool], self.capacity, self.cut) if self.pool else []:
@@ -149,9 +153,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY
         end = np.array([end_id], "<u4")
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity, group, cut)
         for b in batches:
-            texts = (x.as_py() for x in b.column(1))
-            for doc_id, raw in zip(b.column(0), enc.encode(texts)):
-                packer.add(doc_id.as_py(), np.concatenate((np.frombuffer(raw, "<u4"), end)))
+            for doc_id, own in zip(b.column(0), enc.encode(b.column(1))):
+                packer.add(doc_id.as_py(), np.concatenate((own, end)))
                 if len(packer.rows) >= 2000:
                     yield packer.batch()
         packer.flush()
