@@ -7,7 +7,7 @@ in ascending order of document with their place in the whole stream; a manifest
 root for each segment of recipes. All files are Parquet, so any store that Spark writes will do.
 
     chunks/    address binary, n int, payload binary    (unsigned 16- or 32-bit little-endian ids)
-    recipes/   segment, doc_id, start, n_tokens, ids_crc32, addresses array, sizes array
+    recipes/   segment, doc_id, start, n_tokens, ids_crc32, addresses array, ends array
     manifest/  segment, documents, root binary
 """
 
@@ -62,7 +62,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``(doc_id, n_tokens, ids_crc32, addresses, sizes, payloads)``; a payload met before in the partition is null."""
+    """``(doc_id, n_tokens, ids_crc32, addresses, ends, payloads)``; a payload met before in the partition is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(vocabulary), set()
@@ -70,9 +70,9 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         end = np.array([end_id], "<u4")
         rows: list[tuple] = []
         for b in batches:
-            for doc, raw in zip(b.column(0), enc.encode(x.as_py() for x in b.column(1))):
-                ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
-                addresses, sizes, payloads, at = [], [], [], 0
+            for doc, own in zip(b.column(0), enc.encode(b.column(1))):
+                ids = np.concatenate((own, end))
+                addresses, ends, payloads, at = [], [], [], 0
                 for to in cuts(ids):
                     part = ids[at:to]
                     payload = (b"\x02" + part.astype("<u2").tobytes()) if small else b"\x04" + part.tobytes()
@@ -80,21 +80,21 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     payloads.append(None if address in seen else payload)
                     seen.add(address)
                     addresses.append(address)
-                    sizes.append(to - at)
+                    ends.append(to)
                     at = to
-                rows.append((doc.as_py(), len(ids), crc32(ids.tobytes()), addresses, sizes, payloads))
+                rows.append((doc.as_py(), len(ids), crc32(ids.tobytes()), addresses, ends, payloads))
                 if len(rows) == 1000:
                     yield _rows(rows)
                     rows = []
         if rows:
             yield _rows(rows)
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, addresses array<binary>, sizes array<int>, payloads array<binary>")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, addresses array<binary>, ends array<long>, payloads array<binary>")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_tokens", "ids_crc32", "addresses", "sizes", "payloads"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_tokens", "ids_crc32", "addresses", "ends", "payloads"])
 
 
 def _leaf(doc_id, start, n, crc, addresses) -> bytes:
@@ -128,8 +128,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     """
     spark = docs.sparkSession
     staged = written(encoded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), vocabulary, end_id), "encoded")
-    chunks = staged.select(F.explode(F.arrays_zip("addresses", "sizes", "payloads")).alias("c")).select("c.*").where("payloads IS NOT NULL")
-    chunks.select(F.col("addresses").alias("address"), F.col("sizes").alias("n"), F.col("payloads").alias("payload")).dropDuplicates(["address"]) \
+    chunks = staged.select(F.explode(F.arrays_zip("addresses", "payloads")).alias("c")).select("c.*").where("payloads IS NOT NULL")
+    width = F.when(F.substring("payload", 1, 1) == F.lit(b"\x02"), 2).otherwise(4)
+    chunks = chunks.select(F.col("addresses").alias("address"), F.col("payloads").alias("payload")).dropDuplicates(["address"])
+    chunks.select("address", ((F.octet_length("payload") - 1) / width).cast("int").alias("n"), "payload") \
         .write.option("compression", "zstd").parquet(f"{path}/chunks")
     segments = max(1, -(-staged.count() // SEGMENT_DOCS))
     order = ["doc_id", "ids_crc32", F.xxhash64("addresses")]
@@ -139,7 +141,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     before = sums.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
     own = Window.partitionBy("segment").orderBy(F.col("doc_id").asc_nulls_first(), *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     recipes = parted.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(before, "segment")
-    recipes.select("segment", "doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "addresses", "sizes") \
+    recipes.select("segment", "doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "addresses", "ends") \
         .write.option("compression", "zstd").parquet(f"{path}/recipes")
     discard(parted)
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
@@ -192,12 +194,13 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     Every payload is hashed and must be its address's; a document's length and CRC are put together
     from its chunks' (the CRC of a concatenation is the XOR of its parts' CRCs, each shifted by what
     follows), so payloads are read once where they lie and never moved. ``verified``: they agree
-    with the recipe, and the segment's Merkle root is that of the manifest.
+    with the recipe, and the segment's Merkle root is that of the manifest. A chunk that is missing
+    or altered makes its documents unverified; a store of no documents gives none.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = recipes.select("segment", "doc_id", "start", F.col("n_tokens").alias("told"), F.posexplode("addresses").alias("i", "address"),
-                           "sizes").withColumn("follow", 4 * F.aggregate(F.slice("sizes", F.col("i") + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x)).drop("sizes")
-    both = parts.join(checked_chunks(spark, path), "address", "left").select("segment", "doc_id", "start", "n", "crc", "follow")
+    parts = recipes.select("segment", "start", "n_tokens", F.explode(F.arrays_zip("addresses", "ends")).alias("c")).select(
+        "segment", "start", F.col("c.addresses").alias("address"), (4 * (F.col("n_tokens") - F.col("c.ends"))).alias("follow"))
+    both = parts.join(checked_chunks(spark, path), "address", "left").select("segment", "start", "n", "crc", "follow")
 
     @F.pandas_udf("long")
     def shift(crc: pd.Series, follow: pd.Series) -> pd.Series:
@@ -212,7 +215,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restored(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, ids)`` with ``ids`` the whole stream of each document (32-bit little-endian)."""
+    """``(doc_id, start, ids)`` with ``ids`` the whole stream of each document (32-bit little-endian).
+
+    A document of which a chunk is missing is left out, as its stream can't be told.
+    """
     parts = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("addresses").alias("i", "address"))
     chunks = spark.read.parquet(f"{path}/chunks").select("address", "payload")
 
@@ -220,7 +226,8 @@ def restored(spark: SparkSession, path: str) -> DataFrame:
     def joined(parts: pd.Series) -> pd.Series:
         return parts.map(lambda ps: b"".join(payload_ids(bytes(p["payload"])).tobytes() for p in ps))
 
-    return parts.join(chunks, "address").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("i", "payload"))).alias("parts")).select("doc_id", "start", joined("parts").alias("ids"))
+    whole = parts.join(chunks, "address", "left").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("i", "payload"))).alias("parts"))
+    return whole.where(F.forall("parts", lambda p: p["payload"].isNotNull())).select("doc_id", "start", joined("parts").alias("ids"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
