@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat.OP2_SQL,
         "op3_jaccard_join": jaccard.OP3_SQL,
         "op4_embedding_dedup": embedding_dedup.OP4_SQL,
+        "op6_quality_rules": quality.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
