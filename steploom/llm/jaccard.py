@@ -41,8 +41,8 @@ LARGEST_SMALL = 32
 LIGHT = 8
 #: Ids of candidates are broadcast up to this size; beyond it they and the texts are shuffled.
 BROADCAST_BYTES = 16 << 20
-#: Documents in a block of a group; a tile counts BLOCK * BLOCK intersections.
-BLOCK = 2048
+#: Documents, and bytes of text, in a block of a group; a tile counts BLOCK * BLOCK intersections.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
 
 
 class Plan:
@@ -213,11 +213,16 @@ def _near(a: str, b: str, num: int, den: int):
 
 
 def _hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Each list's members with its hub, the member with most company, if their components differ."""
-    company = F.count("*").over(Window.partitionBy("doc"))
-    hub = F.max(F.struct("company", (-F.col("doc")).alias("d"), "n", "component", "doc")).over(Window.partitionBy("key"))
-    rows = lists.withColumn("company", company).withColumn("hub", hub)
-    return rows.where((F.col("component") != F.col("hub.component")) & _near("n", "hub.n", num, den)).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    """Each list's members with its hub, the member with most company, if their sizes are near enough.
+
+    Hubs are aggregated before they are shuffled and joined from a written table, so that a list of
+    any length is many tasks.
+    """
+    rows = lists.withColumn("company", F.count("*").over(Window.partitionBy("doc")))
+    hub = F.max(F.struct("company", (-F.col("doc")).alias("d"), "n", "doc"))
+    hubs = written(rows.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    met = lists.join(hubs, "key").where((F.col("doc") != F.col("hub")) & _near("n", "hub_n", num, den))
+    return met.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
 
 
 def _list_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,11 +259,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     texts = written(docs.join(ids, "doc_id"), "texts")
-    links = verified(_hub_pairs(own.withColumn("component", F.col("doc")), num, den), texts, k, num, den)
-    apart = written(_apart(own, written(components(links), "joined")), "apart")
-    held = apart.withColumn("held", F.count("*").over(Window.partitionBy("key")))
-    links = links.unionByName(verified(_list_pairs(held.where(f"held <= {LIGHT}"), num, den), texts, k, num, den))
-    links = links.unionByName(_heavy_links(held.where(f"held > {LIGHT}"), texts, k, num, den))
+    links = verified(_hub_pairs(own, num, den), texts, k, num, den)
+    first = written(components(links), "joined")
+    apart = written(_apart(own, first), "apart")
+    discard(own, first)
+    links = links.unionByName(verified(_list_pairs(apart.where(f"held <= {LIGHT}"), num, den), texts, k, num, den))
+    links = links.unionByName(_heavy_links(apart.where(f"held > {LIGHT}"), texts, k, num, den))
+    discard(apart, texts)
     joined = written(components(links), "joined")
     whole = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc_id").alias("m"), F.coalesce("component", "rep").alias("component_id")).groupBy("m").agg(F.min("component_id").alias("component_id"))
@@ -272,9 +279,11 @@ def _heavy_links(lists: DataFrame, docs: DataFrame, k: int, num: int, den: int)
     and each two blocks are a tile, which counts all its intersections at once. So no pair is a
     row, and a large group is many tasks.
     """
-    stars = lists.select(F.min("doc").over(Window.partitionBy("key")).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
+    stars = lists.select(F.col("first").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
     groups = written(components(stars), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lengths = docs.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes"))
+    shares = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    sizes = written(groups.join(lengths, "node").groupBy("component").agg(F.ceil(shares).cast("int").alias("blocks")), "group-sizes")
     dealt = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     texts = docs.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
@@ -352,10 +361,11 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _apart(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The lists that still hold more than one component, with the component of each member."""
-    rows = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    ends = Window.partitionBy("key")
-    return rows.withColumn("lo", F.min("component").over(ends)).withColumn("hi", F.max("component").over(ends)).where("lo < hi").drop("lo", "hi")
+    """The lists that still hold more than one component: each member with its component, the list's length and first member."""
+    rows = written(lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component")), "told")
+    ends = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"), F.min("doc").alias("first"))
+    ends = written(ends.where("lo < hi").select("key", "held", "first"), "ends")
+    return rows.join(ends, "key")
 
 
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
