@@ -2,8 +2,9 @@
 
 Lines are exploded as 128-bit hashes of their keys (never as text), equal hashes of one document
 are merged before the shuffle, and distinct documents are counted per hash. The hashes over the
-threshold meet the documents' hashes again, each document learns which of its keys to drop, and
-its text is reassembled by position from the lines that stay; a text is moved at most once.
+threshold meet the documents' hashes again (they are broadcast if they are few), each document learns
+which of its keys to drop, and its text is reassembled by position from the lines that stay; a text is
+moved at most once.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     rows = docs.select(_document(id_col, text_col).alias("document"), F.col(text_col).alias("text"))
     lines = written(rows.mapInArrow(explode, "document binary, h binary").distinct(), "lines")
-    common = lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h")
+    # Written, so that its size is known: a small table of common lines is broadcast, and a large one
+    # meets the lines in a join whose hot keys can be split.
+    common = written(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h"), "common-lines")
     return lines.join(common, "h").groupBy("document").agg(F.collect_set("h").alias("dropped"))
 
 
