@@ -57,6 +57,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """``written``, dealt by a column: what groups by it later needs no shuffle of this table.
+
+    The table's name leaves the catalogue at once; the files, which the plan holds, stay until the application ends.
+    """
+    spark = df.sparkSession
+    name, n = f"{tag}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    out._steploom_path = path
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove written tables that no later plan reads."""
     for df in frames:
