@@ -82,3 +82,22 @@ def updated(r: Column, **fields: Any) -> Column:
 
 def tuple_of(*xs: Any) -> Column:
     return F.struct(*[col(x).alias(f"_{i + 1}") for i, x in enumerate(xs)])
+
+
+def now() -> Column:
+    """The instant of evaluation: an event's or a change's own time."""
+    return F.col("ts")
+
+
+def distance(lat1: Any, lon1: Any, lat2: Any, lon2: Any, radius: float = 6371.0) -> Column:
+    """The way along a great circle between two points in degrees, in units of ``radius`` (kilometres on Earth)."""
+    a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
+    h = F.sin((c - a) / 2) ** 2 + F.cos(a) * F.cos(c) * F.sin((d - b) / 2) ** 2
+    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def comprehension(source, where: Column | None = None, by: str | None = None, **fields: Column):
+    """``[fields for x in source if where]`` of a stream or a window, and with ``by`` its groups."""
+    out = source if where is None else source.where(where)
+    out = out.select(**fields) if fields else out
+    return out if by is None else out.groupby(by)

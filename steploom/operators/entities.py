@@ -6,13 +6,15 @@ member's history is its own and follows both the key and the target.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stream import Stream, Value
-from .timeline import as_of, by_time, changed
+from .timeline import as_of, by_time, changed, overlapping, prefix
 
 
 @dataclass(frozen=True)
@@ -25,13 +27,28 @@ class Entity:
     members: tuple[str, ...] = field(default=())
 
     @staticmethod
-    def create_from(name: str, stream: Stream, id: str) -> Entity:
-        """Attributes are the last known values of the stream's fields; ``events`` is the entity's own stream."""
+    def create_from(name: str, stream: Stream | list[Stream], id: str) -> Entity:
+        """Attributes are the last known values of the fields of a stream, or of several; ``events`` is the entity's own stream."""
+        if isinstance(stream, list):
+            frames = [s.df.withColumn("seq", F.struct(F.lit(i).alias("i"), F.col("seq").cast("long").alias("seq"))) for i, s in enumerate(stream)]
+            stream = Stream(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), (), stream[0].bucket)
         s = stream.groupby(id)
         fields = [c for c in s.df.columns if c not in ("ts", "seq", id)]
         rec = s.last_event(*fields).df
         return Entity(name, id, s, rec.select(id, "ts", *[F.col("value")[f].alias(f) for f in fields]), tuple(fields))
 
+    def on_new(self) -> Stream:
+        """The births of objects: each id at its first instant."""
+        return Stream(self.table.groupBy(self.id).agg(F.min("ts").alias("ts")).withColumn("seq", F.lit(0).cast("long")), (self.id,))
+
+    def pulse(self, field: str) -> Stream:
+        """A field that holds only at the instant of its event: the events that know it."""
+        return replace(self.events, df=self.events.df.where(F.col(field).isNotNull()).select(*self.events.keys, "ts", "seq", field))
+
+    def on_change(self, action: Callable[[DataFrame, int], None], checkpoint: str):
+        """A method with side effects: ``action`` on each micro-batch of the object's changes, where the table streams."""
+        return self.table.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).start()
+
     def attribute(self, f: str) -> Value:
         """One attribute of all objects, as a dictionary."""
         return Value(self.table.select(self.id, "ts", F.col(f).alias("value")), (self.id,)).distinct_until_changed()
@@ -56,15 +73,12 @@ class Entity:
     def belongs_to(self, other: Entity, fields: dict[str, str], fk: str | None = None) -> Entity:
         """N:1 by ``<other>_id``: the target's fields, live. Changes when the key or the target does.
 
-        The table is sent to each key it has held (a key's spans), where the target's changes are
-        found by an equi-join on the key and a range of time.
+        An object's spans meet the versions of their target in one join on the key. The target may be
+        declared later than this entity: only its table is asked for, when this is called.
         """
         fk = fk or f"{other.name.lower()}_id"
         spans = self.table.withColumn("_to", F.lead("ts").over(by_time([self.id])))
-        target = other.table.select(F.col(other.id).alias("_k"), F.col("ts").alias("_t"))
-        moved = spans.join(target, (F.col(fk) == F.col("_k")) & (F.col("_t") > F.col("ts")) & (F.col("_to").isNull() | (F.col("_t") < F.col("_to"))))
-        rows = self.table.unionByName(moved.withColumn("ts", F.col("_t")).select(*self.table.columns)).distinct()
-        seen = as_of(rows, other.table, [fk], fields, right_keys=[other.id])
+        seen = overlapping(spans, fk, other.table, other.id, fields)
         names = (*self.members, *fields.values())
         return Entity(self.name, self.id, self.events, changed(seen, [self.id], names), names)
 
@@ -80,16 +94,32 @@ class Entity:
         return child.all(now).groupBy(fk).agg(F.sort_array(F.collect_set(child.id)).alias("children"))
 
 
-def child_counts(parent: Entity, child: Entity, fk: str | None = None) -> Value:
+def child_counts(parent: Entity, child: Entity, fk: str | None = None, where: Column | None = None) -> Value:
     """A keyed count: +1 where a child's key becomes the parent's, -1 where it ceases to be."""
+    return child_sum(parent, child, F.lit(1), fk, where)
+
+
+def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None, where: Column | None = None) -> Value:
+    """The live sum of an expression over an entity's children, of those for which ``where`` holds.
+
+    A correlated sub-select with an aggregate: what a child adds moves with its key, its members and
+    the condition. Few parents with many changes are run by bucket of time.
+    """
     fk = fk or f"{parent.name.lower()}_id"
-    keyed = child.attribute(fk).df
-    was = F.lag("value").over(by_time([child.id]))
-    rows = keyed.withColumn("_was", was)
-    moves = rows.where("value IS NOT NULL").select(F.col("value").alias(parent.id), "ts", F.lit(1).alias("_d")).unionByName(
-        rows.where("_was IS NOT NULL").select(F.col("_was").alias(parent.id), "ts", F.lit(-1).alias("_d")))
+    x = F.coalesce(expr, F.lit(0)) if where is None else F.when(where, expr).otherwise(F.lit(0))
+    now = child.table.select(child.id, "ts", F.col(fk).alias("_fk"), x.alias("_x"))
+    rows = now.withColumn("_was", F.lag(F.struct("_fk", "_x")).over(by_time([child.id])))
+    rows = rows.where(F.col("_was").isNull() | ~F.struct("_fk", "_x").eqNullSafe(F.col("_was")))
+    moves = rows.where("_fk IS NOT NULL").select(F.col("_fk").alias(parent.id), "ts", F.col("_x").alias("_d")).unionByName(
+        rows.where("_was._fk IS NOT NULL").select(F.col("_was._fk").alias(parent.id), "ts", (-F.col("_was._x")).alias("_d")))
     at = moves.groupBy(parent.id, "ts").agg(F.sum("_d").alias("_d"))
-    from pyspark.sql import Window
+    bucket = child.events.bucket
+    out = prefix(at, ["ts"], {"value": ("sum", F.col("_d"))}, bucket, (parent.id,)).drop("_d")
+    return Value(changed(out, [parent.id], ["value"], None, bucket), (parent.id,), "value", bucket, out)
 
-    w = by_time([parent.id]).rowsBetween(Window.unboundedPreceding, 0)
-    return Value(at.withColumn("value", F.sum("_d").over(w)).drop("_d"), (parent.id,)).distinct_until_changed()
+
+def memberships(parent: Entity, child: Entity, fk: str | None = None) -> DataFrame:
+    """``hasMany`` itself, live: ``(parent's id, child's id, valid_from, valid_to)``, a row for each time that a child was the parent's."""
+    fk = fk or f"{parent.name.lower()}_id"
+    spans = child.attribute(fk).values().where("value IS NOT NULL")
+    return spans.select(F.col("value").alias(parent.id), child.id, "valid_from", "valid_to")

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import as_of, by_time, changed, intervals, interval_join, prefix
+from .timeline import as_of, by_time, changed, interval_join, intervals, overlapping, prefix
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -38,6 +39,26 @@ def over(kind: str, c: Column, w, whole: bool) -> Column:
     return {"count": F.count, "max": F.max, "min": F.min, "stddev": F.stddev_samp}[kind](c).over(w)
 
 
+def _parts(kind: str) -> dict[str, tuple[str, Column]]:
+    """The running parts of an aggregate of ``_x``, by name."""
+    x = F.col("_x")
+    s, n, m = {"_s": ("sum", x)}, {"_n": ("count", x)}, "_m"
+    if kind == "stddev":
+        return {"_s": ("sum", x.cast("double")), "_q": ("sum", x.cast("double") * x.cast("double")), **n}
+    return {"sum": s, "count": n, "avg": {**s, **n}, "min": {m: ("min", x)}, "max": {m: ("max", x)},
+            "any": {m: ("max", x.cast("int"))}, "all": {m: ("min", x.cast("int"))}}[kind]
+
+
+def _whole(kind: str, whole: bool) -> Column:
+    """An aggregate of its parts."""
+    s, n, m = F.col("_s"), F.col("_n"), F.col("_m")
+    if kind == "stddev":
+        return F.when(n > 1, F.sqrt(F.greatest(F.col("_q") - s * s / n, F.lit(0.0)) / (n - 1)))
+    if kind == "avg":
+        return F.when(n > 0, ((s - s % n) / n).cast("long") if whole else s / n)
+    return {"sum": s, "count": n, "min": m, "max": m, "any": F.coalesce(m == 1, F.lit(False)), "all": F.coalesce(m == 1, F.lit(True))}[kind]
+
+
 @dataclass(frozen=True)
 class Stream:
     """Events: each row is an instant's pulse."""
@@ -63,10 +84,15 @@ class Stream:
             df = df.withColumn(k, c)
         return replace(self, df=df, keys=(*self.keys, *[k for k in keys], *computed))
 
-    def seeing(self, value: Value, /, **names: str) -> Stream:
-        """Each event with another value as of its instant: ``seeing(v, new_name='field')``."""
+    def grouped(self, keys: list[str], body: Callable[[Stream], Value]) -> Value:
+        """A dictionary whose entries are what ``body`` makes of each group: any expression of its events and of global values."""
+        return body(self.groupby(*keys))
+
+    def seeing(self, value: Value, /, before: bool = False, **names: str) -> Stream:
+        """Each event with another value as of its instant, or just before it: ``seeing(v, new_name='field')``."""
         on = [k for k in value.keys if k in self.df.columns]
-        return replace(self, df=as_of(self.df, value.df, on, {old: new for new, old in names.items()}))
+        right = value.df.withColumn("ts", F.col("ts") + 1) if before else value.df
+        return replace(self, df=as_of(self.df, right, on, {old: new for new, old in names.items()}, bucket=None if on else self.bucket))
 
     def merge(self, other: Stream, *keys: str) -> Stream:
         """Full outer join on instant and key; of shared fields the left one's wins, if known."""
@@ -79,28 +105,54 @@ class Stream:
         return replace(self, df=both.select(*out))
 
     def join(self, other: Stream, keys: list[str], within: int | None = None, how: str = "inner") -> DataFrame:
-        """Equi-join with another stream, at most ``within`` apart in time where given."""
+        """Equi-join with another stream (``how`` as in SQL), at most ``within`` apart in time where given.
+
+        With ``within``, the right side is dealt into each bucket of time that it can meet, so a hot
+        key is spread over its buckets; rows that an outer join keeps alone are found by number.
+        """
         r = other.df.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in other.df.columns])
+        if not keys and within is None:
+            return self.df.join(r, how=how) if how != "cross" else self.df.crossJoin(r)
         if within is None:
             return self.df.join(r, keys, how)
-        cond = F.abs(F.col("ts") - F.col("r_ts")) <= within
-        l, q = self.df.alias("l"), r.alias("q")
-        on = cond
+        width = max(within, 1)
+        l = self.df.withColumn("_b", F.floor(F.col("ts") / width)).alias("l")
+        near = F.sequence(F.floor((F.col("r_ts") - within) / width), F.floor((F.col("r_ts") + within) / width))
+        q = r.withColumn("_b", F.explode(near)).alias("q")
+        on = (F.col("l._b") == F.col("q._b")) & (F.abs(F.col("ts") - F.col("r_ts")) <= within)
         for k in keys:
             on = on & (F.col(f"l.{k}") == F.col(f"q.{k}"))
-        return l.join(q, on, how).select("l.*", *[f"q.r_{c}" for c in other.df.columns if c not in keys])
+        mine, theirs = [c for c in self.df.columns], [f"r_{c}" for c in other.df.columns if c not in keys]
+        met = l.join(q, on, "left" if how in ("left", "full") else "inner").select(*[F.col(f"l.{c}") for c in mine], *[F.col(f"q.{c}") for c in theirs])
+        if how not in ("right", "full"):
+            return met
+        there = r.withColumn("_b", F.floor(F.col("r_ts") / width)).alias("q")
+        meet = self.df.withColumn("_b", F.explode(F.sequence(F.floor((F.col("ts") - within) / width), F.floor((F.col("ts") + within) / width)))).alias("l")
+        alone = there.join(meet, on, "left_anti")
+        kinds = dict(self.df.dtypes)
+        return met.unionByName(alone.select(*[F.col(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in mine], *theirs))
+
+    def cross(self, other: DataFrame) -> Stream:
+        """Each event with each row of a small table, such as a clock's ticks with all keys."""
+        return replace(self, df=self.df.crossJoin(other))
 
     # -- aggregates from the start -------------------------------------------------------------
     def agg(self, kind: str, c: Column | str, name: str = "value") -> Value:
         """A running aggregate; a change row for each instant at which it differs."""
         c = F.col(c) if isinstance(c, str) else c
         whole = dict(self.df.select(c.alias("x")).dtypes)["x"] in ("int", "bigint", "smallint", "tinyint")
-        if not self.keys and kind in ("sum", "count", "min", "max"):
-            rows = prefix(self.df.select("ts", "seq", c.alias("_x")), ["ts", "seq"], {name: (kind, F.col("_x"))}, self.bucket).groupBy("ts").agg(F.max_by(name, "seq").alias(name))
-            return Value(rows, (), name, self.bucket).distinct_until_changed()
+        start = F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None
+        if not self.keys:
+            rows = prefix(self.df.select("ts", "seq", c.alias("_x")), ["ts", "seq"], _parts(kind), self.bucket)
+            rows = rows.groupBy("ts").agg(F.max_by(F.struct(*_parts(kind)), "seq").alias("_p")).select("ts", "_p.*")
+            return Value(rows.select("ts", _whole(kind, whole).alias(name)), (), name, self.bucket).distinct_until_changed(start)
         w = by_time(self.keys).rangeBetween(Window.unboundedPreceding, 0)
         rows = self.df.withColumn(name, over(kind, c, w, whole)).select(*self.keys, "ts", name).dropDuplicates([*self.keys, "ts"])
-        return Value(rows, self.keys, name, self.bucket).distinct_until_changed(F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None)
+        return Value(rows, self.keys, name, self.bucket).distinct_until_changed(start)
+
+    def extreme(self, kind: str, by: Column | str, field: str, name: str = "value") -> DataFrame:
+        """``minBy`` and ``maxBy`` of all events so far: the field of the one with the least or greatest ``by``, per key."""
+        return self.df.groupBy(*self.keys).agg({"min": F.min_by, "max": F.max_by}[kind](field, by).alias(name))
 
     def last(self, field: str, name: str = "value") -> Value:
         """The last known (non-null) value of a field."""
@@ -109,15 +161,26 @@ class Stream:
 
     def last_event(self, *fields: str) -> Value:
         """The last event as a record; unknown fields keep what they were."""
-        w = by_time(self.keys, "ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-        rec = F.struct(*[F.last(f, ignorenulls=True).over(w).alias(f) for f in fields])
-        rows = self.df.withColumn("value", rec).groupBy(*self.keys, "ts").agg(F.max_by("value", "seq").alias("value"))
+        if self.keys:
+            w = by_time(self.keys, "ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+            known = self.df.withColumn("value", F.struct(*[F.last(f, ignorenulls=True).over(w).alias(f) for f in fields]))
+        else:
+            run = prefix(self.df, ["ts", "seq"], {f"_p_{f}": ("last", F.col(f)) for f in fields}, self.bucket)
+            known = run.withColumn("value", F.struct(*[F.col(f"_p_{f}").alias(f) for f in fields]))
+        rows = known.groupBy(*self.keys, "ts").agg(F.max_by("value", "seq").alias("value"))
         return Value(rows, self.keys, "value", self.bucket).distinct_until_changed()
 
     def prev(self, field: str, name: str = "value") -> Value:
         """The known value before the last one."""
-        w = by_time(self.keys, "ts", "seq")
-        known = self.df.where(F.col(field).isNotNull()).withColumn(name, F.lag(field).over(w))
+        known = self.df.where(F.col(field).isNotNull())
+        if self.keys:
+            known = known.withColumn(name, F.lag(field).over(by_time(self.keys, "ts", "seq")))
+        else:  # of a bucket's first event, the last of the buckets before
+            parts = known.withColumn("_b", F.floor(F.col("ts") / self.bucket))
+            ends = parts.groupBy("_b").agg(F.max_by(field, F.struct("ts", "seq")).alias("_end"))
+            starts = ends.select("_b", F.lag("_end").over(Window.orderBy("_b")).alias("_start"))
+            own = F.lag(field).over(Window.partitionBy("_b").orderBy("ts", "seq"))
+            known = parts.withColumn(name, own).join(starts, "_b").withColumn(name, F.coalesce(name, "_start"))
         rows = known.groupBy(*self.keys, "ts").agg(F.max_by(name, "seq").alias(name)).where(F.col(name).isNotNull())
         return Value(rows, self.keys, name, self.bucket).distinct_until_changed()
 
@@ -134,6 +197,27 @@ class Stream:
         """An aggregate of the events between ``far`` and ``near`` ago, at each event."""
         return self.df.withColumn("value", over(kind, F.col(field), by_time(self.keys).rangeBetween(-far, -near), False))
 
+    def dynamic(self, length: Column, kind: str, field: str, bucket: int | None = None, name: str = "value") -> DataFrame:
+        """An aggregate, at each event, of the events of its own last ``length``: a window whose size may change.
+
+        Joined by key and bucket of time, so that a hot key is many tasks.
+        """
+        width = bucket or self.bucket
+        mine = self.df.withColumn("_n", F.monotonically_increasing_id()).withColumn("_from", F.col("ts") - length)
+        at = mine.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_from") + 1) / width), F.floor(F.col("ts") / width)))).alias("l")
+        seen = self.df.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], F.col("ts").alias("_ts"), F.col(field).alias("_x")).withColumn("_b", F.floor(F.col("_ts") / width)).alias("q")
+        on = (F.col("l._b") == F.col("q._b")) & (F.col("_ts") > F.col("_from")) & (F.col("_ts") <= F.col("ts"))
+        for k in self.keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        fields = [F.first(F.col(f"l.{c}")).alias(c) for c in self.df.columns]
+        return at.join(seen, on).groupBy("_n").agg(*fields, AGGREGATES[kind](F.col("_x")).alias(name)).drop("_n")
+
+    def while_(self, cond: Column) -> Stream:
+        """Windows that last while a condition holds: its events, numbered by how often it has failed before them."""
+        holds = F.coalesce(cond, F.lit(False))
+        w = by_time(self.keys, "ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        return replace(self, df=self.df.withColumn("episode", F.sum((~holds).cast("int")).over(w)).where(holds))
+
     def episodes(self, start: Column, stop: Column | None = None) -> Stream:
         """Semantic windows: events numbered by the last ``start`` before them; those after a ``stop`` have none."""
         w = by_time(self.keys, "ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -151,6 +235,16 @@ class Stream:
         return Value(rows, self.keys, "value", self.bucket).distinct_until_changed()
 
 
+def _summed(moves: DataFrame, keys: tuple[str, ...], name: str, bucket: int, initial: float = 0) -> Value:
+    """The running sum of ``_d``, a change each instant at which it differs."""
+    at = moves.groupBy(*keys, "ts").agg(F.sum("_d").alias("_d"))
+    if keys:
+        out = at.withColumn(name, F.sum("_d").over(by_time(keys).rowsBetween(Window.unboundedPreceding, 0)) + initial)
+    else:
+        out = prefix(at, ["ts"], {name: ("sum", F.col("_d"))}, bucket).withColumn(name, F.col(name) + initial)
+    return Value(out.drop("_d"), keys, name, bucket).distinct_until_changed()
+
+
 @dataclass(frozen=True)
 class EventWindow:
     """The events of ``(now - length, now]``; an event leaves at ``ts + length``."""
@@ -167,21 +261,69 @@ class EventWindow:
     def groupby(self, *keys: str) -> EventWindow:
         return replace(self, stream=self.stream.groupby(*keys))
 
+    def _spread(self, df: DataFrame) -> tuple[DataFrame, tuple[str, ...], Column]:
+        """Rows in partitions that hold all that their windows see, the partitions' keys, and whether a row is its partition's own.
+
+        Without keys, each bucket of time also holds what its first windows reach back to.
+        """
+        s = self.stream
+        if s.keys:
+            return df, s.keys, F.lit(True)
+        width = max(s.bucket, self.length)
+        near = F.sequence(F.floor(F.col("ts") / width), F.floor((F.col("ts") + self.length - 1) / width))
+        return df.withColumn("_b", F.explode(near)), ("_b",), F.col("_b") == F.floor(F.col("ts") / width)
+
     def at_events(self, kind: str, field: str, name: str = "value") -> DataFrame:
         """The aggregate at each event: a plain range frame."""
-        w = by_time(self.stream.keys).rangeBetween(-(self.length - 1), 0)
-        return self.stream.df.withColumn(name, over(kind, F.col(field), w, False))
+        rows, keys, own = self._spread(self.stream.df)
+        w = by_time(keys).rangeBetween(-(self.length - 1), 0)
+        return rows.withColumn(name, over(kind, F.col(field), w, False)).where(own).drop("_b")
+
+    def _probed(self, x: Column, made: Callable[[object], Column], name: str, initial: Column | None = None) -> Value:
+        """``made`` of a window over the events held, in column ``_x`` (null: only time has passed), at each event and each expiry."""
+        s = self.stream
+        rows = s.df.select(*s.keys, "ts", "seq", x.alias("_x"))
+        probes = rows.select(*s.keys, (F.col("ts") + self.length).alias("ts"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(rows.schema["_x"].dataType).alias("_x"))
+        both, keys, own = self._spread(rows.unionByName(probes))
+        w = by_time(keys).rangeBetween(-(self.length - 1), 0)
+        out = both.withColumn(name, made(w)).where(own).select(*s.keys, "ts", name).dropDuplicates([*s.keys, "ts"])
+        return Value(out, s.keys, name, s.bucket).distinct_until_changed(initial)
 
     def agg(self, kind: str, c: Column | str, name: str = "value") -> Value:
         """The aggregate as a value, with the changes that expiry brings."""
         c = F.col(c) if isinstance(c, str) else c
+        whole = self.stream.df.select(c.alias("x")).dtypes[0][1] in ("int", "bigint", "smallint", "tinyint")
+        return self._probed(c, lambda w: over(kind, F.col("_x"), w, whole), name, F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None)
+
+    def index(self, i: int, field: str, name: str = "value") -> Value:
+        """``w[i]``: the field of the oldest event held for 0, of the newest for -1, and so on; null beyond the window.
+
+        Events of one instant stand in no order of their own.
+        """
+        if i >= 0:
+            return self._probed(F.struct(F.col(field).alias("x")), lambda w: F.nth_value("_x", i + 1, ignoreNulls=True).over(w)["x"], name)
         s = self.stream
-        rows = s.df.select(*s.keys, "ts", c.alias("_x"))
-        whole = dict(rows.dtypes)["_x"] in ("int", "bigint", "smallint", "tinyint")
-        probes = rows.select(*s.keys, (F.col("ts") + self.length).alias("ts"), F.lit(None).cast(rows.schema["_x"].dataType).alias("_x"))
-        w = by_time(s.keys).rangeBetween(-(self.length - 1), 0)
-        out = rows.unionByName(probes).withColumn(name, over(kind, F.col("_x"), w, whole)).select(*s.keys, "ts", name).dropDuplicates([*s.keys, "ts"])
-        return Value(out, s.keys, name, s.bucket).distinct_until_changed(F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None)
+        back = F.lag(F.struct("ts", F.col(field).alias("x")), -i - 1).over(by_time(s.keys, "ts", "seq"))
+        had = replace(self, stream=replace(s, df=s.df.withColumn("_back", F.struct(back.alias("e")))))
+        last = lambda w: F.last("_x", ignorenulls=True).over(w)["e"]
+        return had._probed(F.col("_back"), lambda w: F.when(last(w)["ts"] > F.col("ts") - self.length, last(w)["x"]), name)
+
+    def sort_by(self, *order: Column, fields: tuple[str, ...], k: int | None = None, name: str = "value") -> Value:
+        """The events held in order, newest first where it ties, as an array of their fields; with ``k`` the first of them."""
+        rank = [c.alias(f"o{j}") for j, c in enumerate(order)]
+        x = F.struct(*rank, (-F.col("ts")).alias("t"), (-F.col("seq")).alias("q"), *fields)
+
+        def made(w) -> Column:
+            held = F.sort_array(F.collect_list("_x").over(w))
+            held = F.slice(held, 1, k) if k else held
+            return F.transform(held, lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+
+        return self._probed(x, made, name)
+
+    def uda(self, added: Column, expired: Column, initial: float = 0, name: str = "value") -> Value:
+        """A user's aggregate that adds up: what an event brings when it comes and when it leaves."""
+        moves = self.stream.df.select(*self.stream.keys, "ts", added.alias("_d")).unionByName(self.expired().df.select(*self.stream.keys, "ts", expired.alias("_d")))
+        return _summed(moves, self.stream.keys, name, self.stream.bucket, initial)
 
     def added(self) -> Stream:
         return self.stream
@@ -207,27 +349,43 @@ class Value:
     keys: tuple[str, ...] = ()
     field: str = "value"
     bucket: int = 86_400_000_000
+    #: All settings of the value, also those that left it as it was.
+    raw: DataFrame | None = None
 
     def distinct_until_changed(self, initial: Column | None = None) -> Value:
-        return replace(self, df=changed(self.df, self.keys, [self.field], initial))
+        return replace(self, df=changed(self.df, self.keys, [self.field], initial, None if self.keys else self.bucket), raw=self.df)
 
     def select(self, expr: Column) -> Value:
         """Map the value; for a dictionary, each entry's."""
-        return replace(self, df=self.df.withColumn(self.field, expr)).distinct_until_changed()
+        df = self.df if self.raw is None else self.raw
+        return replace(self, df=df.withColumn(self.field, expr)).distinct_until_changed()
 
     def compare(self, other: Value, expr: Column, name: str = "other") -> Value:
         """An expression of two values (of one key, or global): evaluated when either changes."""
         on = [k for k in self.keys if k in other.keys]
-        if self.keys and not other.keys:  # a global value changes every live key
-            live = self.df.groupBy(*self.keys).agg(F.min("ts").alias("_born"))
-            points = live.join(F.broadcast(other.df.select("ts")), F.col("ts") >= F.col("_born")).drop("_born")
+        if self.keys and not other.keys:  # a global value changes every live key: keys meet its changes by bucket of time
+            last = other.df.agg(F.max("ts")).first()[0]
+            at = lambda c: F.floor(c / self.bucket)
+            born = self.df.groupBy(*self.keys).agg(F.min("ts").alias("_born")).where(F.col("_born") <= F.lit(last))
+            live = born.withColumn("_b", F.explode(F.sequence(at(F.col("_born")), at(F.lit(last)))))
+            points = live.join(other.df.select("ts", at(F.col("ts")).alias("_b")), "_b").where("ts >= _born").drop("_b", "_born")
         else:
             points = other.df.select(*on, "ts")
         points = points.unionByName(self.df.select(*self.keys, "ts")).distinct()
-        mine = as_of(points, self.df, list(self.keys), {self.field: self.field})
-        both = as_of(mine, other.df, on, {other.field: name})
+        mine = as_of(points, self.df, list(self.keys), {self.field: self.field}, bucket=None if self.keys else self.bucket)
+        both = as_of(mine, other.df, on, {other.field: name}, bucket=None if on else self.bucket)
         return replace(self, df=both.withColumn(self.field, expr).select(*self.keys, "ts", self.field)).distinct_until_changed()
 
+    @staticmethod
+    def record_of(**values: Value) -> Value:
+        """A record of live values of the same keys, by name: changes when any of them does."""
+        first = next(iter(values.values()))
+        points = reduce(lambda a, b: a.unionByName(b), [v.df.select(*first.keys, "ts") for v in values.values()]).distinct()
+        for name, v in values.items():
+            points = as_of(points, v.df, list(first.keys), {v.field: name}, bucket=None if first.keys else first.bucket)
+        out = points.select(*first.keys, "ts", F.struct(*values).alias("value"))
+        return Value(out, first.keys, "value", first.bucket).distinct_until_changed()
+
     def where(self, visible: Column) -> DataFrame:
         """A dictionary's visible entries as a changelog: ``op`` SET when shown or changed, DEL when hidden.
 
@@ -242,7 +400,27 @@ class Value:
 
     def values(self) -> DataFrame:
         """The window of live values: each with the span in which it is the key's."""
-        return intervals(self.df, self.keys)
+        return intervals(self.df, self.keys, None if self.keys else self.bucket)
+
+    def index(self, key: Value) -> Value:
+        """``d[k]`` of a live key: changes when the key does or its entry; null where there is no entry.
+
+        This is also the fixed access to a member of an association: the target's own history, under the key that holds.
+        """
+        spans = key.values().select(*key.keys, "ts", F.col(key.field).alias("_key"), F.col("valid_to").alias("_to"))
+        out = overlapping(spans, "_key", self.df, self.keys[0], {self.field: "value"})
+        return Value(out.select(*key.keys, "ts", "value"), key.keys, "value", key.bucket).distinct_until_changed()
+
+    def count(self, visible: Column | None = None) -> Value:
+        """``dict.count()``: how many entries there are, or are visible, live."""
+        vis = F.lit(True) if visible is None else F.coalesce(visible, F.lit(False))
+        turns = self.df.withColumn("_v", vis.cast("int")).withColumn("_d", F.col("_v") - F.coalesce(F.lag("_v").over(by_time(self.keys)), F.lit(0)))
+        return _summed(turns.where("_d <> 0").select("ts", "_d"), (), "value", self.bucket)
+
+    def updates(self) -> Stream:
+        """All settings as a stream of ``value``, also those that leave it as it was."""
+        rows = (self.df if self.raw is None else self.raw).select(*self.keys, "ts", F.col(self.field).alias("value"))
+        return Stream(rows.withColumn("seq", F.lit(0).cast("long")), self.keys, self.bucket)
 
     def at(self, *key) -> Value:
         """``d[k]``"""
@@ -305,32 +483,39 @@ class ValueWindow:
     def spans(self) -> DataFrame:
         return self.value.values().withColumn("valid_to", F.col("valid_to") + self.length)
 
+    def added(self) -> Stream:
+        """A value comes in when it is set."""
+        return Stream(self.value.df.withColumn("seq", F.lit(0).cast("long")), self.value.keys, self.value.bucket)
+
+    def expired(self) -> Stream:
+        """It leaves ``length`` after it was replaced."""
+        gone = self.spans().where("valid_to IS NOT NULL").withColumn("ts", F.col("valid_to")).drop("valid_from", "valid_to")
+        return Stream(gone.withColumn("seq", F.lit(0).cast("long")), self.value.keys, self.value.bucket)
+
+    def uda(self, added: Column, expired: Column, initial: float = 0) -> Value:
+        """A user's aggregate that adds up: what a value brings when it comes and when it leaves."""
+        v = self.value
+        moves = self.added().df.select(*v.keys, "ts", added.alias("_d")).unionByName(self.expired().df.select(*v.keys, "ts", expired.alias("_d")))
+        return _summed(moves, v.keys, v.field, v.bucket, initial)
+
     def sum(self) -> Value:
-        return self._deltas(F.col(self.value.field))
+        return self.uda(F.col(self.value.field), -F.col(self.value.field))
 
     def count(self) -> Value:
-        return self._deltas(F.lit(1))
-
-    def _deltas(self, c: Column) -> Value:
-        v, s = self.value, self.spans()
-        moves = s.select(*v.keys, F.col("valid_from").alias("ts"), c.alias("_d")).unionByName(
-            s.where("valid_to IS NOT NULL").select(*v.keys, F.col("valid_to").alias("ts"), (-c).alias("_d")))
-        at = moves.groupBy(*v.keys, "ts").agg(F.sum("_d").alias("_d"))
-        if v.keys:
-            out = at.withColumn(v.field, F.sum("_d").over(by_time(v.keys).rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
-        else:
-            out = prefix(at, ["ts"], {v.field: ("sum", F.col("_d"))}, v.bucket).drop("_d")
-        return replace(v, df=out).distinct_until_changed()
+        return self.uda(F.lit(1), F.lit(-1))
 
     def agg(self, kind: str, c: Column | None = None, other: Value | None = None, name: str = "other") -> Value:
         """Any aggregate, at each point where the window or ``other`` changes; ``c`` may use both."""
+        initial = F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None
+        if other is None and self.value.keys and kind in _JOINED:
+            return self._framed(kind, F.col(self.value.field) if c is None else c, initial)
         v, s = self.value, self.spans()
         points = s.select(*v.keys, F.col("valid_from").alias("ts")).unionByName(s.where("valid_to IS NOT NULL").select(*v.keys, F.col("valid_to").alias("ts")))
         if other is not None:
             points = points.unionByName(other.df.select(*v.keys, "ts"))
         points = points.distinct()
         if other is not None:
-            points = as_of(points, other.df, list(v.keys), {other.field: name})
+            points = as_of(points, other.df, list(v.keys), {other.field: name}, bucket=None if v.keys else v.bucket)
         both = interval_join(points, s.drop("ts"), list(v.keys), max(self.length, 1))
         c = c if c is not None else F.col(v.field)
         if kind == "avg":
@@ -339,4 +524,33 @@ class ValueWindow:
             out = both.groupBy(*v.keys, "ts").agg(made.cast("long").alias(v.field))
         else:
             out = both.groupBy(*v.keys, "ts").agg(AGGREGATES[kind](c).alias(v.field))
-        return replace(v, df=out).distinct_until_changed(F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None)
+        return replace(v, df=out).distinct_until_changed(initial)
+
+    def _framed(self, kind: str, c: Column, initial: Column | None) -> Value:
+        """Without a join: the values set in the window are a range frame, and the one that held at its far end is the last before it."""
+        v, whole = self.value, self.value.df.select(c.alias("x")).dtypes[0][1] in ("int", "bigint", "smallint", "tinyint")
+        rows = v.df.select(*v.keys, "ts", F.struct(c.alias("x")).alias("_x"))
+        probes = self.spans().where("valid_to IS NOT NULL").select(*v.keys, F.col("valid_to").alias("ts"), F.lit(None).cast(rows.schema["_x"].dataType).alias("_x"))
+        w = by_time(v.keys)
+        near, far = w.rangeBetween(-(self.length - 1), 0), w.rangeBetween(Window.unboundedPreceding, -self.length)
+        x = F.col("_x")["x"]
+        held = F.last("_x", ignorenulls=True).over(far)
+        seen = rows.unionByName(probes).withColumn("_held", held).withColumn("_h", F.col("_held")["x"])
+        out = seen.withColumn(v.field, _JOINED[kind](x, near, F.col("_h"), whole)).select(*v.keys, "ts", v.field).dropDuplicates([*v.keys, "ts"])
+        return replace(v, df=out).distinct_until_changed(initial)
+
+
+def _mean(x: Column, w, h: Column, whole: bool) -> Column:
+    s = F.coalesce(F.sum(x).over(w), F.lit(0)) + F.coalesce(h, F.lit(0))
+    n = F.count(x).over(w) + h.isNotNull().cast("int")
+    return F.when(n > 0, ((s - s % n) / n).cast("long") if whole else s / n)
+
+
+#: An aggregate of the values in a frame and the one that held before it.
+_JOINED: dict[str, Callable] = {
+    "max": lambda x, w, h, _: F.greatest(F.max(x).over(w), h),
+    "min": lambda x, w, h, _: F.least(F.min(x).over(w), h),
+    "any": lambda x, w, h, _: F.coalesce(F.bool_or(x).over(w), F.lit(False)) | F.coalesce(h, F.lit(False)),
+    "all": lambda x, w, h, _: F.coalesce(F.bool_and(x).over(w), F.lit(True)) & F.coalesce(h, F.lit(True)),
+    "avg": _mean,
+}

@@ -7,6 +7,7 @@ that repeats the value before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,34 +17,86 @@ def by_time(keys: Sequence[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*(order or ("ts",)))
 
 
-def changed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], initial: Column | None = None) -> DataFrame:
-    """Rows whose fields differ from the key's row before; the first differs from ``initial`` or always stays."""
-    now = F.struct(*fields)
-    w = by_time(keys)
-    before = F.lag(now).over(w)
-    first = F.row_number().over(w) == 1
-    same = F.when(first, now.eqNullSafe(F.struct(initial.alias(fields[0]))) if initial is not None else F.lit(False)).otherwise(now.eqNullSafe(before))
-    return df.withColumn("_same", same).where("NOT _same").drop("_same")
+def _bucketed(df: DataFrame, bucket: int) -> DataFrame:
+    return df.withColumn("_b", F.floor(F.col("ts") / bucket))
+
 
+def _beside(parts: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``parts`` with the columns of ``few``, which has one row for each key and bucket; keys may be null."""
+    on = [*keys, "_b"]
+    r = few.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in few.columns if c not in on])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    return parts.join(r, same, "left").drop(*[f"_on_{k}" for k in on])
 
-def intervals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The change table with ``valid_from`` and ``valid_to`` (null: still holds)."""
-    return df.withColumn("valid_from", F.col("ts")).withColumn("valid_to", F.lead("ts").over(by_time(keys)))
 
+def changed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], initial: Column | None = None, bucket: int | None = None) -> DataFrame:
+    """Rows whose fields differ from the key's row before; the first differs from ``initial`` or always stays.
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: dict[str, str], right_keys: Sequence[str] | None = None) -> DataFrame:
+    With ``bucket``, for tables without keys or with few, each bucket of time is compared by itself;
+    its first row is compared with the last of the bucket before, of which there is one a key.
+    """
+    now = F.struct(*fields)
+    if bucket is None:
+        both = df.withColumn("_before", F.lag(now).over(by_time(keys)))
+    else:
+        parts = _bucketed(df, bucket)
+        ends = parts.groupBy(*keys, "_b").agg(F.max_by(now, "ts").alias("_end"))
+        starts = ends.select(*keys, "_b", F.lag("_end").over(by_time(keys, "_b")).alias("_start"))
+        parts = parts.withColumn("_before", F.lag(now).over(by_time([*keys, "_b"])))
+        both = _beside(parts, starts, keys).withColumn("_before", F.coalesce("_before", "_start")).drop("_start", "_b")
+    first = now.eqNullSafe(F.struct(initial.alias(fields[0]))) if initial is not None else F.lit(False)
+    return both.where(~F.when(F.col("_before").isNull(), first).otherwise(now.eqNullSafe(F.col("_before")))).drop("_before")
+
+
+def intervals(df: DataFrame, keys: Sequence[str], bucket: int | None = None) -> DataFrame:
+    """The change table with ``valid_from`` and ``valid_to`` (null: still holds); ``bucket`` as in ``changed``."""
+    if bucket is None:
+        return df.withColumn("valid_from", F.col("ts")).withColumn("valid_to", F.lead("ts").over(by_time(keys)))
+    parts = _bucketed(df, bucket)
+    firsts = parts.groupBy(*keys, "_b").agg(F.min("ts").alias("_first"))
+    after = firsts.select(*keys, "_b", F.lead("_first").over(by_time(keys, "_b")).alias("_next"))
+    both = _beside(parts.withColumn("valid_to", F.lead("ts").over(by_time([*keys, "_b"]))), after, keys)
+    return both.withColumn("valid_to", F.coalesce("valid_to", "_next")).withColumn("valid_from", F.col("ts")).select(*df.columns, "valid_from", "valid_to")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: dict[str, str], right_keys: Sequence[str] | None = None,
+          bucket: int | None = None) -> DataFrame:
     """``left`` with the last row of ``right`` at or before its ``ts``: fields are ``{right name: new name}``.
 
     One union, one shuffle on the keys and one ordered pass; rows of ``right`` at the same instant
-    come first, so a value that changes just now is seen.
+    come first, so a value that changes just now is seen. With ``bucket`` each bucket of time is
+    passed by itself and begins with what the buckets before it left.
     """
     right_keys = list(right_keys or keys)
     held = F.struct(*[F.col(a).alias(b) for a, b in fields.items()])
     r = right.select(*[F.col(a).alias(b) for a, b in zip(right_keys, keys)], F.col("ts"), F.lit(0).alias("_side"), held.alias("_held"), F.lit(None).cast(_row_type(left)).alias("_row"))
     l = left.select(*keys, "ts", F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_held"].dataType).alias("_held"), F.struct(*left.columns).alias("_row"))
-    w = by_time(keys, "ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("_last", F.last("_held", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", *[F.col(f"_last.{b}").alias(b) for b in fields.values()])
+    both, last = r.unionByName(l), F.last("_held", ignorenulls=True)
+    if bucket is None:
+        seen = both.withColumn("_last", last.over(by_time(keys, "ts", "_side").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        parts = _bucketed(both, bucket)
+        ends = parts.groupBy(*keys, "_b").agg(F.max_by("_held", F.when(F.col("_side") == 0, F.col("ts"))).alias("_end"))
+        before = by_time(keys, "_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.select(*keys, "_b", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+        own = by_time([*keys, "_b"], "ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        seen = _beside(parts.withColumn("_last", last.over(own)), starts, keys).withColumn("_last", F.coalesce("_last", "_start"))
+    return seen.where("_side = 1").select("_row.*", *[F.col(f"_last.{b}").alias(b) for b in fields.values()])
+
+
+def overlapping(spans: DataFrame, key: str, versions: DataFrame, version_key: str, fields: dict[str, str]) -> DataFrame:
+    """``spans`` (key, ``ts``, ``_to``) cut where the version of their key changes: fields are ``{version's name: new name}``.
+
+    One join on the key, whose hot keys Spark can split; a span without a version yet, or whose key
+    has none, has null fields. Rows begin at the later of span and version.
+    """
+    told = [F.col(a).alias(b) for a, b in fields.items()]
+    v = versions.select(F.col(version_key).alias("_k"), F.col("ts").alias("_vf"), F.lead("ts").over(by_time([version_key])).alias("_vt"), *told)
+    none = [F.lit(None).cast(v.schema[b].dataType).alias(b) for b in fields.values()]
+    v = v.unionByName(versions.groupBy(F.col(version_key).alias("_k")).agg(F.min("ts").alias("_vt")).select("_k", F.lit(None).cast("long").alias("_vf"), "_vt", *none))
+    held = (F.col(key) == F.col("_k")) & (F.col("_vf").isNull() | F.col("_to").isNull() | (F.col("_vf") < F.col("_to"))) & (F.col("_vt").isNull() | (F.col("_vt") > F.col("ts")))
+    out = spans.join(v, held, "left").withColumn("ts", F.greatest("ts", "_vf"))
+    return out.select(*[c for c in spans.columns if c != "_to"], *fields.values())
 
 
 def _row_type(df: DataFrame):
@@ -66,22 +119,22 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], buck
     return closed.unionByName(opened.where("valid_from <= ts").select(*closed.columns))
 
 
-def prefix(df: DataFrame, order: Sequence[str], totals: dict[str, tuple[str, Column]], bucket: int) -> DataFrame:
-    """Running aggregates over the whole table without gathering it in one task.
+def prefix(df: DataFrame, order: Sequence[str], totals: dict[str, tuple[str, Column]], bucket: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Running aggregates over the whole table, or over few keys, without gathering it in a task or few.
 
     ``totals``: name to (kind, column), kind one of sum, count, min, max, last. Each bucket of
     ``ts`` runs by itself; the buckets' own results, a row each, are run in order, and a row takes
     what its bucket starts from.
     """
     run = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-    parts = df.withColumn("_b", F.floor(F.col("ts") / bucket))
-    own = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = _bucketed(df, bucket)
+    own = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for name, (kind, c) in totals.items():
         parts = parts.withColumn(name, run[kind](c).over(own))
-    ends = parts.groupBy("_b").agg(*[F.max_by(F.struct(name), F.struct(*order)).getField(name).alias(name) for name in totals])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy(*keys, "_b").agg(*[F.max_by(F.struct(name), F.struct(*order)).getField(name).alias(name) for name in totals])
+    before = by_time(keys, "_b").rowsBetween(Window.unboundedPreceding, -1)
     again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": run["last"]}
-    starts = ends.select("_b", *[again[kind](name).over(before).alias(f"_s_{name}") for name, (kind, _) in totals.items()])
-    both = parts.join(starts, "_b")
+    starts = ends.select(*keys, "_b", *[again[kind](name).over(before).alias(f"_s_{name}") for name, (kind, _) in totals.items()])
+    both = _beside(parts, starts, keys)
     joined = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest, "last": F.coalesce}
     return both.select(*df.columns, *[joined[kind](F.col(name), F.col(f"_s_{name}")).alias(name) for name, (kind, _) in totals.items()])

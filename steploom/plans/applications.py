@@ -27,7 +27,8 @@ def tolls(reports: Stream, length: int, limit: float, just_before: bool = False)
     mean = reports.groupby("segment_id").window(length).agg("avg", "speed")
     entered = reports.groupby("vehicle_id").last("segment_id").df.withColumnRenamed("value", "segment_id")
     at = entered.withColumn("_t", F.col("ts")).withColumn("ts", F.col("ts") - (1 if just_before else 0))
-    seen = as_of(as_of(at, mean.df, ["segment_id"], {"value": "mean"}), volumes(reports).df, ["segment_id"], {"value": "cars"})
+    segments = reports.bucket  # few keys: run by bucket of time
+    seen = as_of(as_of(at, mean.df, ["segment_id"], {"value": "mean"}, bucket=segments), volumes(reports).df, ["segment_id"], {"value": "cars"}, bucket=segments)
     paid = seen.select("vehicle_id", F.col("_t").alias("ts"), F.when(F.col("mean") < limit, F.coalesce("cars", F.lit(0))).otherwise(0).alias("toll"))
     w = Window.partitionBy("vehicle_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return Value(paid.withColumn("total", F.sum("toll").over(w)).select("vehicle_id", "ts", "total"), ("vehicle_id",), "total").distinct_until_changed().df
@@ -46,12 +47,36 @@ def _(spark, d):
     return volumes(reports(spark, d)).df.select("segment_id", "ts", F.col("value").cast("long"))
 
 
-@query("congestion_tolls")
+def tolls_sql(back: int) -> str:
+    """As ``tolls``: segments are seen ``back`` before a vehicle enters."""
+    length = 5 * HOUR
+    return E_SQL + f""", u AS (SELECT event_type AS s, ts, cents AS x FROM e UNION ALL SELECT event_type, ts + {length}, NULL FROM e),
+a AS (SELECT s, ts, sum(x) OVER k AS t, count(x) OVER k AS n FROM u WINDOW k AS (PARTITION BY s ORDER BY ts RANGE BETWEEN {length - 1} PRECEDING AND CURRENT ROW)),
+mean AS (SELECT DISTINCT s, ts, CASE WHEN n > 0 THEN t // n END AS mean FROM a),
+k AS (SELECT user_id, ts, event_type AS s, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM e),
+m AS (SELECT s, ts, 1 AS x FROM k WHERE s IS DISTINCT FROM was UNION ALL SELECT was, ts, -1 FROM k WHERE was IS NOT NULL AND s IS DISTINCT FROM was),
+g AS (SELECT s, ts, sum(x) AS x FROM m GROUP BY ALL), vol AS (SELECT s, ts, sum(x) OVER (PARTITION BY s ORDER BY ts) AS cars FROM g),
+i AS (SELECT user_id, ts AS due, ts - {back} AS ts, s FROM k WHERE s IS DISTINCT FROM was),
+j AS (SELECT i.*, mean.mean FROM i ASOF LEFT JOIN mean ON i.s = mean.s AND i.ts >= mean.ts), q AS (SELECT j.*, vol.cars FROM j ASOF LEFT JOIN vol ON j.s = vol.s AND j.ts >= vol.ts),
+y AS (SELECT user_id, due, sum(CASE WHEN mean < 5000 THEN coalesce(cars, 0) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY due) AS total FROM q),
+z AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY due) AS was FROM y) SELECT user_id AS vehicle_id, due AS ts, CAST(total AS BIGINT) AS total FROM z WHERE total IS DISTINCT FROM was"""
+
+
+@query("congestion_tolls", tolls_sql(0))
+def _(spark, d):
+    return tolls(reports(spark, d), 5 * HOUR, 5000).withColumn("total", F.col("total").cast("long"))
+
+
+@query("congestion_tolls_fixed", tolls_sql(1))
 def _(spark, d):
-    return tolls(reports(spark, d), 5 * HOUR, 5000)
+    return tolls(reports(spark, d), 5 * HOUR, 5000, just_before=True).withColumn("total", F.col("total").cast("long"))
 
 
-@query("macd")
+@query("macd", f"""WITH RECURSIVE e AS ({E_SQL.split(' AS (', 1)[1][:-1]}), l AS (SELECT user_id, ts, CAST(cents AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n FROM e),
+r AS (SELECT user_id, ts, n, x AS total, x AS a, x AS b FROM l WHERE n = 1 UNION ALL SELECT l.user_id, l.ts, l.n, r.total + l.x,
+  CASE WHEN l.n <= 12 THEN (r.total + l.x) / l.n ELSE 2.0::DOUBLE / 13 * l.x + (1 - 2.0::DOUBLE / 13) * r.a END, CASE WHEN l.n <= 26 THEN (r.total + l.x) / l.n ELSE 2.0::DOUBLE / 27 * l.x + (1 - 2.0::DOUBLE / 27) * r.b END
+  FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1),
+c AS (SELECT user_id, ts, a > b AS value, lag(a > b) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM r) SELECT user_id, ts, value FROM c WHERE value IS DISTINCT FROM was""")
 def _(spark, d):
     """Crossings of a fast and a slow average: a signal whenever their order changes."""
     s = per_user(spark, d)

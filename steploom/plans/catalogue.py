@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.enums import Enum, anything, bind, literal, match, variant
-from ..functions.registry import recursive
-from ..functions.scalars import divide, if_then_else, logical_and, logical_or, plus_text, record, remainder, tuple_of, updated
-from ..operators.entities import Entity, child_counts
-from ..operators.listeners import counter, ema, fold, tagged
+from ..functions.registry import choose, recursive
+from ..functions.scalars import comprehension, distance, divide, if_then_else, logical_and, logical_or, plus_text, record, remainder, tuple_of, updated
+from ..operators.entities import Entity, child_sum, memberships
+from ..operators.listeners import counter, ema, fold, resetting, tagged
 from ..operators.stream import Stream, Value
-from ..sources.events import sequenced
+from ..sources.events import sequenced, ticks
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +89,8 @@ def _(spark, d):
 
 @query("records_and_tuples", f"{E_SQL} SELECT event_id, cents + 1 AS a, event_type AS b, user_id AS t1, cents AS t2 FROM e")
 def _(spark, d):
-    df = events(spark, d).df.withColumn("r", updated(record(a=F.col("cents"), b=F.col("event_type")), a=F.col("cents") + 1)).withColumn("t", tuple_of(F.col("user_id"), F.col("cents")))
+    rec = updated(record(a=F.col("cents"), b=F.col("event_type")), a=F.col("cents") + 1)
+    df = events(spark, d).select(event_id=F.col("event_id"), r=rec, t=tuple_of(F.col("user_id"), F.col("cents"))).df
     return df.select("event_id", "r.a", "r.b", F.col("t._1").alias("t1"), F.col("t._2").alias("t2"))
 
 
@@ -195,8 +196,9 @@ def _(spark, d):
 
 @query("min_by_max_by", f"{E_SQL} SELECT user_id, arg_min(event_id, (cents, event_id)) AS lowest, arg_max(event_id, (cents, event_id)) AS highest, round(stddev_samp(cents), 3) AS spread FROM e GROUP BY user_id")
 def _(spark, d):
-    key = F.struct("cents", "event_id")
-    return events(spark, d).df.groupBy("user_id").agg(F.min_by("event_id", key).alias("lowest"), F.max_by("event_id", key).alias("highest"), F.round(F.stddev_samp("cents"), 3).alias("spread"))
+    s, key = per_user(spark, d), F.struct("cents", "event_id")
+    ends = s.extreme("min", key, "event_id", "lowest").join(s.extreme("max", key, "event_id", "highest"), "user_id")
+    return ends.join(s.agg("stddev", "cents").snapshot(), "user_id").select("user_id", "lowest", "highest", F.round("value", 3).alias("spread"))
 
 
 # -- windows ------------------------------------------------------------------------------------
@@ -271,8 +273,7 @@ def _(spark, d):
 
 @query("updates", f"{E_SQL} SELECT user_id, ts, arg_max(event_type, seq) AS value FROM e GROUP BY ALL")
 def _(spark, d):
-    s = per_user(spark, d)
-    return s.df.groupBy("user_id", "ts").agg(F.max_by("event_type", "seq").alias("value"))
+    return per_user(spark, d).last("event_type").updates().df.select("user_id", "ts", "value")
 
 
 @query("compare_values", E_SQL + """, p AS (SELECT DISTINCT user_id, ts FROM e WHERE event_type IN ('click', 'view')),
@@ -372,8 +373,8 @@ def _(spark, d):
 SELECT customer_id, ts, CAST(sum(n) OVER (PARTITION BY customer_id ORDER BY ts) AS BIGINT) AS value FROM m""")
 def _(spark, d):
     o = orders(spark, d)
-    customer = Entity.create_from("Customer", o.select(customer_id=F.col("customer_id")), "customer_id")
-    return child_counts(customer, Entity.create_from("Order", o, "order_id")).df.select("customer_id", "ts", F.col("value").cast("long"))
+    customer = Entity.create_from("Customer", o.select(customer_id=F.col("customer_id"), order_id=F.col("order_id")), "customer_id")
+    return customer.has_many(Entity.create_from("Order", o, "order_id"), "orders").table.select("customer_id", "ts", F.col("orders").cast("long").alias("value"))
 
 
 # -- listeners, functions, enums ----------------------------------------------------------------
@@ -391,8 +392,7 @@ def _(spark, d):
 z AS (SELECT user_id, ts, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE cents END) OVER (PARTITION BY user_id, g ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS x FROM g)""" + changes_sql("CAST(x AS BIGINT)", source="z", first="value IS DISTINCT FROM 0"))
 def _(spark, d):
     s = per_user(spark, d)
-    step = lambda total, e: 0 if e["event_type"] == "purchase" else total + int(e["cents"])
-    return fold(("user_id",), tagged(s, fields=("event_type", "cents")), step, 0, "long").df
+    return resetting(("user_id",), tagged(s, fields=("event_type", "cents")), F.col("cents"), F.col("event_type") == "purchase").df.select("user_id", "ts", F.col("value").cast("long"))
 
 
 @query("ema", f"""WITH RECURSIVE e AS ({E_SQL.split(' AS (', 1)[1][:-1]}), l AS (SELECT user_id, ts, CAST(cents AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n FROM e),
@@ -430,10 +430,174 @@ g AS (SELECT user_id, ts FROM u, k), l AS (SELECT user_id, ts, cents FROM e) SEL
 def _(spark, d):
     s = per_user(spark, d)
     lo, hi = s.df.agg(F.floor(F.min("ts") / DAY), F.floor(F.max("ts") / DAY)).first()
-    users = s.df.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(lo), F.lit(hi)))) if lo is not None else s.df.select("user_id", F.col("ts").alias("day")).limit(0)
-    grid = Stream(users.select("user_id", (F.col("day") * DAY).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq")), ("user_id",))
+    clock = ticks(spark, (lo or 0) * DAY, (hi if hi is not None else -1) * DAY, DAY)
+    grid = clock.cross(s.df.select("user_id").distinct()).groupby("user_id")
     last = Value(s.df.select("user_id", "ts", F.col("cents").alias("value")), ("user_id",))
     return grid.seeing(last, value="value").df.select("user_id", "ts", "value")
 
 
+# -- bodies, records, indexes, aggregates of one's own ------------------------------------------
+@query("grouped_body", E_SQL + f""", u AS (SELECT user_id, ts, cents AS x FROM e UNION ALL SELECT user_id, ts + {HOUR}, NULL FROM e),
+n AS (SELECT user_id, ts, count(x) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS n, last_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS x FROM u)""" + changes_sql("x * n", source="n"))
+def _(spark, d):
+    body = lambda g: g.last("cents").compare(g.window(HOUR).agg("count", "cents"), F.col("value") * F.col("other"))
+    return events(spark, d).grouped(["user_id"], body).df.select("user_id", "ts", "value")
+
+
+@query("record_of_values", E_SQL + ", r AS (SELECT user_id, ts, arg_max(cents, seq) AS cents, arg_max(event_type, seq) AS event_type FROM e GROUP BY ALL), \
+c AS (SELECT *, lag(cents) OVER k AS c0, lag(event_type) OVER k AS t0 FROM r WINDOW k AS (PARTITION BY user_id ORDER BY ts)) \
+SELECT user_id, ts, cents, event_type FROM c WHERE cents IS DISTINCT FROM c0 OR event_type IS DISTINCT FROM t0")
+def _(spark, d):
+    s = per_user(spark, d)
+    return Value.record_of(cents=s.last("cents"), event_type=s.last("event_type")).df.select("user_id", "ts", "value.cents", "value.event_type")
+
+
+@query("uda_window_avg", V_SQL + f", m AS (SELECT user_id, lo AS ts, x, 1 AS n FROM s UNION ALL SELECT user_id, hi + {HOUR}, -x, -1 FROM s WHERE hi IS NOT NULL), \
+t AS (SELECT user_id, ts, sum(x) {SO_FAR} AS x, sum(n) {SO_FAR} AS n FROM m)" + changes_sql("CAST(CASE WHEN n = 0 THEN 0 ELSE x // n END AS BIGINT)", source="t"))
+def _(spark, d):
+    w = per_user(spark, d).last("cents").window(HOUR)
+    total, count = w.uda(F.col("value"), -F.col("value")), w.uda(F.lit(1), F.lit(-1))
+    return total.compare(count, F.when(F.col("other") == 0, 0).otherwise(divide(F.col("value"), F.col("other"))).cast("long")).df.select("user_id", "ts", "value")
+
+
+@query("live_index", E_SQL + ", k AS (SELECT ts, user_id AS k FROM e WHERE event_type = 'purchase'), p AS (SELECT e.ts, k.k FROM e ASOF JOIN k ON e.ts >= k.ts), \
+l AS (SELECT user_id, ts, cents FROM e), v AS (SELECT p.ts, l.cents AS x FROM p ASOF LEFT JOIN l ON p.k = l.user_id AND p.ts >= l.ts)" + changes_sql("x", keys="", source="v"))
+def _(spark, d):
+    s = per_user(spark, d)
+    buyer = kind(events(spark, d), "purchase").last("user_id")
+    return s.last("cents").index(buyer).df.select("ts", "value")
+
+
+HELD = f"OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW)"
+U_SQL = E_SQL + f", u AS (SELECT user_id, ts, cents AS x FROM e UNION ALL SELECT user_id, ts + {HOUR}, NULL FROM e)"
+
+
+@query("window_index_first", U_SQL + changes_sql(f"first_value(x IGNORE NULLS) {HELD}", source="u"))
+def _(spark, d):
+    return per_user(spark, d).window(HOUR).index(0, "cents").df.select("user_id", "ts", "value")
+
+
+@query("window_index_second_last", U_SQL + f", h AS (SELECT user_id, ts, list(x) FILTER (x IS NOT NULL) {HELD} AS l FROM u)" + changes_sql("l[-2]", source="h"))
+def _(spark, d):
+    return per_user(spark, d).window(HOUR).index(-2, "cents").df.select("user_id", "ts", "value")
+
+
+@query("window_sort_by", E_SQL + f""", u AS (SELECT user_id, ts, {{'o': -cents, 't': -ts, 'q': -seq, 'id': event_id}} AS x FROM e UNION ALL SELECT user_id, ts + {HOUR}, NULL FROM e),
+h AS (SELECT user_id, ts, array_to_string(list_transform(list_sort(coalesce(list(x) FILTER (x IS NOT NULL) {HELD}, []))[1:3], lambda y: y.id), ',') AS l FROM u)""" + changes_sql("l", source="h"))
+def _(spark, d):
+    top = per_user(spark, d).window(HOUR).sort_by(-F.col("cents"), fields=("event_id",), k=3)
+    return top.select(F.array_join(F.transform("value", lambda e: e["event_id"].cast("string")), ",")).df.select("user_id", "ts", "value")
+
+
+@query("dict_count", V_SQL + ", f AS (SELECT user_id, lo AS ts, x > 5000 AS vis, coalesce(lag(x > 5000) OVER (PARTITION BY user_id ORDER BY lo), FALSE) AS was FROM s), \
+g AS (SELECT ts, sum(vis::INT - was::INT) AS d FROM f GROUP BY ts HAVING bool_or(vis <> was)), r AS (SELECT ts, sum(d) OVER (ORDER BY ts) AS n FROM g)" + changes_sql("CAST(n AS BIGINT)", keys="", source="r"))
+def _(spark, d):
+    return per_user(spark, d).last("cents").count(F.col("value") > 5000).df.select("ts", F.col("value").cast("long"))
+
+
+@query("global_running_avg", E_SQL + changes_sql("CAST(trunc((sum(cents) OVER w - sum(cents) OVER w % count(cents) OVER w) / count(cents) OVER w) AS BIGINT)".replace("OVER w", "OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING)"), keys=""))
+def _(spark, d):
+    return events(spark, d).agg("avg", "cents").df.select("ts", "value")
+
+
+@query("global_window_sum", E_SQL + f", u AS (SELECT ts, cents AS x FROM e UNION ALL SELECT ts + {HOUR}, NULL FROM e)" + changes_sql(f"CAST(coalesce(sum(x) OVER (ORDER BY ts RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW), 0) AS BIGINT)", keys="", source="u"))
+def _(spark, d):
+    return events(spark, d).window(HOUR).agg("sum", "cents").df.select("ts", F.col("value").cast("long"))
+
+
+@query("value_window_avg", V_SQL + f", p AS (SELECT DISTINCT user_id, lo AS ts FROM s UNION SELECT user_id, hi + {HOUR} FROM s WHERE hi IS NOT NULL), \
+j AS (SELECT p.user_id, p.ts, CAST(sum(x) // count(x) AS BIGINT) AS x FROM p JOIN s ON p.user_id = s.user_id AND lo <= p.ts AND (hi IS NULL OR p.ts < hi + {HOUR}) GROUP BY ALL)" + changes_sql("x", source="j"))
+def _(spark, d):
+    return per_user(spark, d).last("cents").window(HOUR).agg("avg").df.select("user_id", "ts", "value")
+
+
+@query("dynamic_window", f"""{E_SQL}, a AS (SELECT *, ts - (cents % 5 + 1) * {HOUR} AS lo FROM e)
+SELECT a.event_id, count(*) AS n, CAST(sum(e.cents) AS BIGINT) AS total FROM a JOIN e ON a.user_id = e.user_id AND e.ts > a.lo AND e.ts <= a.ts GROUP BY a.event_id""")
+def _(spark, d):
+    s, length = per_user(spark, d), (F.col("cents") % 5 + 1) * HOUR
+    n = s.dynamic(length, "count", "cents", name="n").select("event_id", "n")
+    return s.dynamic(length, "sum", "cents", name="total").join(n, "event_id").select("event_id", "n", "total")
+
+
+@query("while_window", f"""{E_SQL}, g AS (SELECT *, sum(CASE WHEN cents > 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS episode FROM e)
+SELECT user_id, CAST(episode AS BIGINT) AS episode, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM g WHERE cents > 2000 GROUP BY ALL""")
+def _(spark, d):
+    s = per_user(spark, d).while_(F.col("cents") > 2000)
+    return s.df.groupBy("user_id", "episode").agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
+
+
+DAILY_SQL = f"""{E_SQL}, c AS (SELECT user_id, ts // {DAY} AS ts, sum(cents)::BIGINT AS clicks FROM e WHERE event_type = 'click' GROUP BY ALL),
+v AS (SELECT user_id, ts // {DAY} AS ts, sum(cents)::BIGINT AS views FROM e WHERE event_type = 'view' GROUP BY ALL)"""
+for _how, _word in {"right": "RIGHT", "full": "FULL"}.items():
+    QUERIES[f"{_how}_outer_join"] = lambda spark, d, how=_how: daily(kind(events(spark, d), "click"), "clicks").join(
+        daily(kind(events(spark, d), "view"), "views"), ["user_id", "ts"], how=how).select("user_id", "ts", "clicks", "r_views")
+    ORACLE[f"{_how}_outer_join"] = f"{DAILY_SQL} SELECT user_id, ts, clicks, views AS r_views FROM c {_word} JOIN v USING (user_id, ts)"
+
+
+@query("full_join_within", f"""{E_SQL} SELECT a.event_id, b.event_id AS r_event_id FROM (SELECT * FROM e WHERE event_type = 'click') a
+FULL JOIN (SELECT * FROM e WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND abs(a.ts - b.ts) <= {HOUR}""")
+def _(spark, d):
+    s = events(spark, d)
+    return kind(s, "click").join(kind(s, "purchase"), ["user_id"], within=HOUR, how="full").select("event_id", "r_event_id")
+
+
+@query("cross_join", f"{E_SQL}, c AS (SELECT user_id, arg_max(cents, (ts, seq)) AS value FROM e GROUP BY user_id) SELECT c.user_id, r_regionkey, value * (r_regionkey + 1) AS scaled FROM c, region")
+def _(spark, d):
+    last = Stream(per_user(spark, d).last("cents").snapshot())
+    return last.cross(read(spark, d, "region").select("r_regionkey")).df.select("user_id", "r_regionkey", (F.col("value") * (F.col("r_regionkey") + 1)).alias("scaled"))
+
+
+@query("comprehension", f"{E_SQL} SELECT event_id, cents + 1 AS a FROM e WHERE cents > 5000")
+def _(spark, d):
+    return comprehension(events(spark, d), F.col("cents") > 5000, event_id=F.col("event_id"), a=F.col("cents") + 1).df.select("event_id", "a")
+
+
+@query("chosen_function", f"{E_SQL} SELECT event_id, CASE event_type WHEN 'click' THEN cents * 2 WHEN 'view' THEN cents * cents ELSE -cents END AS value FROM e")
+def _(spark, d):
+    f = choose(F.col("event_type"), {"click": lambda x: x * 2, "view": lambda x: x * x}, lambda x: -x)
+    return events(spark, d).df.select("event_id", f(F.col("cents")).alias("value"))
+
+
+@query("way_between_events", f"""{E_SQL}, p AS (SELECT user_id, event_id, radians(cents % 90) AS a, radians(cents % 180) AS o, lag(radians(cents % 90)) OVER k AS a0, lag(radians(cents % 180)) OVER k AS o0 FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts, seq))
+SELECT event_id, round(2 * 6371.0 * asin(sqrt(least(sin((a - a0) / 2) ** 2 + cos(a0) * cos(a) * sin((o - o0) / 2) ** 2, 1.0))), 3) AS way FROM p WHERE a0 IS NOT NULL""")
+def _(spark, d):
+    s = per_user(spark, d)
+    at = s.prev("cents").updates().df
+    seen = s.df.join(at.withColumnRenamed("value", "was"), ["user_id", "ts"])
+    return seen.select("event_id", F.round(distance(F.col("was") % 90, F.col("was") % 180, F.col("cents") % 90, F.col("cents") % 180), 3).alias("way"))
+
+
+@query("listener_states", E_SQL + ", n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n FROM e), z AS (SELECT user_id, ts, chr(CAST(65 + (n - 1) % 3 AS INT)) AS x FROM n)" + changes_sql("x", source="z"))
+def _(spark, d):
+    step = lambda s, e: {"A": "B", "B": "C", "C": "A"}.get(s, "A")
+    return fold(("user_id",), tagged(per_user(spark, d), fields=("event_type",)), step, None, "string").df.select("user_id", "ts", "value")
+
+
+def children(spark: SparkSession, d: str) -> tuple[Entity, Entity]:
+    o = read(spark, d, "orders").select(F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("customer_id"),
+                                        F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("order_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return Entity("Customer", "customer_id", Stream(o), o), Entity.create_from("Order", Stream(o), "order_id")
+
+
+@query("entity_child_sum", """WITH m AS (SELECT o_custkey AS customer_id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS ts,
+  sum(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END) AS n FROM orders GROUP BY ALL),
+r AS (SELECT customer_id, ts, CAST(sum(n) OVER (PARTITION BY customer_id ORDER BY ts) AS BIGINT) AS value FROM m),
+c AS (SELECT *, lag(value) OVER (PARTITION BY customer_id ORDER BY ts) AS was FROM r) SELECT customer_id, ts, value FROM c WHERE value IS DISTINCT FROM was""")
+def _(spark, d):
+    customer, order = children(spark, d)
+    return child_sum(customer, order, F.col("cents"), where=F.col("priority").startswith("1")).df.select("customer_id", "ts", F.col("value").cast("long"))
+
+
+@query("entity_memberships", V_SQL.replace("arg_max(cents, seq)", "arg_max(event_type, seq)") + " SELECT x AS segment_id, user_id AS vehicle_id, lo AS valid_from, hi AS valid_to FROM s")
+def _(spark, d):
+    vehicles = events(spark, d).select(vehicle_id=F.col("user_id"), segment_id=F.col("event_type"))
+    return memberships(Entity("Segment", "segment_id", vehicles, vehicles.df), Entity.create_from("Vehicle", vehicles, "vehicle_id"))
+
+
+@query("entity_births", f"{E_SQL} SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id")
+def _(spark, d):
+    s = events(spark, d).select(user_id=F.col("user_id"), cents=F.col("cents"))
+    return Entity.create_from("User", [s.where("cents > 5000"), s.where("cents <= 5000")], "user_id").on_new().df.select("user_id", "ts")
+
+
 from . import applications  # noqa: E402, F401  (registers its queries)

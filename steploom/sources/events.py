@@ -30,7 +30,11 @@ def csv_text(spark: SparkSession, text: str, schema: str, lower: bool = True) ->
 
 
 def _typed(lines: DataFrame, schema: str, lower: bool) -> Stream:
-    head = lines.orderBy("seq").limit(1).collect()[0]
+    first = lines.orderBy("seq").limit(1).collect()
+    if not first:  # no header: a stream of the schema without events
+        fields = ", ".join("ts " + p.split()[1] if p.split()[0] == "timestamp" else p.strip() for p in schema.split(","))
+        return Stream(lines.sparkSession.createDataFrame([], f"{fields}, seq long"))
+    head = first[0]
     names = [x.strip().lower() if lower else x.strip() for x in head["line"].split(",")]
     types = dict(p.split() for p in schema.split(","))
     parts = F.split("line", ",")
@@ -48,6 +52,11 @@ def at_times(clock: Stream, period: int, offset: int = 0) -> Stream:
     return clock.where(F.col("ts") % period == offset)
 
 
+def daily_at(clock: Stream, hour: int, minute: int = 0, second: int = 0, unit: int = 1) -> Stream:
+    """Pulses of a clock each day at a time; ``unit`` is the number of ``ts`` in a second."""
+    return at_times(clock, 86_400 * unit, (hour * 3600 + minute * 60 + second) * unit)
+
+
 def show(x, n: int = 20) -> None:
     """``print``: a batch's first rows in order of time."""
     x.df.orderBy("ts").show(n, truncate=False)
@@ -66,4 +75,4 @@ def sequenced(df: DataFrame, ts: str, seq: str) -> Stream:
     return Stream(df.select(t.alias("ts"), F.col(seq).cast("long").alias("seq"), *rest))
 
 
-__all__ = ["csv_stream", "csv_text", "ticks", "at_times", "show", "on_update", "sequenced"]
+__all__ = ["csv_stream", "csv_text", "ticks", "at_times", "daily_at", "show", "on_update", "sequenced"]

@@ -1,10 +1,11 @@
 """Streaming gives what batch gives."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from steploom.operators.stream import Stream
-from steploom.streaming.live import listener, sliding_sum
+from steploom.streaming.live import latest, listener, shown, sliding, sliding_sum
 
 ROWS = [(2, 1, 25), (4, 3, 45), (5, 1, 25), (6, 2, 50), (7, 3, 30), (9, 1, 23)]
 
@@ -22,15 +23,41 @@ def _run(df, name, tmp_path, mode):
     return df.sparkSession.table(name)
 
 
-def test_sliding_sum_is_the_batch_window(spark, tmp_path):
+def _batch(spark):
+    return Stream(spark.createDataFrame(ROWS, "ts long, room long, temp long").withColumn("seq", F.lit(0).cast("long")), ("room",))
+
+
+@pytest.mark.parametrize("kind", ["sum", "count", "min", "max"])
+def test_sliding_is_the_batch_window(spark, tmp_path, kind):
     (tmp_path / "in").mkdir()
     src = _source(spark, tmp_path / "in", [*ROWS, (60, 9, 0)])
-    got = _run(sliding_sum(src, "room", "ts", "temp", 3000), "sliding", tmp_path / "cp", "append")
-    got = sorted((r["ts_ms"] // 1000, int(r["key"]), int(r["total"])) for r in got.collect() if r["ts_ms"] < 20_000 and r["key"] != "9")
-    # A row that leaves the sum as it was is the only one that batch does not have.
-    batch = Stream(spark.createDataFrame(ROWS, "ts long, room long, temp long").withColumn("seq", F.lit(0).cast("long")), ("room",)).window(3).agg("sum", "temp")
-    want = sorted((r["ts"], r["room"], r["value"]) for r in batch.df.collect())
-    assert [x for x in got if x != (5, 1, 25)] == want
+    got = _run(sliding(src, "room", "ts", "temp", 3000, kind), f"sliding_{kind}", tmp_path / "cp", "append")
+    got = sorted((r["ts_ms"] // 1000, int(r["key"]), r["value"]) for r in got.collect() if r["key"] != "9")
+    want = sorted((r["ts"], r["room"], r["value"]) for r in _batch(spark).window(3).agg(kind, "temp").df.collect())
+    assert got == want
+
+
+def test_sliding_sum_has_totals(spark):
+    assert sliding_sum(_static(spark), "room", "ts", "temp", 3000).columns == ["key", "ts_ms", "total", "n"]
+
+
+def _static(spark):
+    return spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit(1).alias("room"), F.col("value").alias("temp"))
+
+
+def test_shown_is_the_batch_changelog(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    src = _source(spark, tmp_path / "in", [*ROWS, (60, 9, 0)])
+    got = _run(shown(src, "room", "ts", "temp", lambda x: x > 30), "shown", tmp_path / "cp", "append")
+    got = sorted((r["ts_ms"] // 1000, int(r["key"]), r["op"], r["value"]) for r in got.collect())
+    want = sorted((r["ts"], r["room"], r["op"], r["value"]) for r in _batch(spark).last("temp").where(F.col("value") > 30).collect())
+    assert got == [(4, 3, "SET", 45.0), (6, 2, "SET", 50.0), (7, 3, "DEL", None)] == want
+
+
+def test_latest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = _run(latest(_source(spark, tmp_path / "in", ROWS), "room", "ts", "temp"), "latest", tmp_path / "cp", "complete")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 23), (2, 50), (3, 30)]
 
 
 def test_stateless_operators_stream(spark, tmp_path):
@@ -41,12 +68,21 @@ def test_stateless_operators_stream(spark, tmp_path):
     assert sorted(r["double"] for r in got.collect()) == [90, 100]
 
 
-def test_listener_keeps_state_over_batches(spark, tmp_path):
+def test_listener_gives_each_change_in_order_of_time(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    src = _source(spark, tmp_path / "in", ROWS)
-    step = lambda s, e: ((s[0] if s else 0) + int(e["temp"]),)
-    got = _run(listener(src.select("t", "room", "temp"), "room", step, "total long", "room long, total long", lambda s: s, ["t"]), "listened", tmp_path / "cp", "update")
-    last = {}
-    for r in got.collect():
-        last[r["room"]] = max(last.get(r["room"], 0), r["total"])
-    assert last == {1: 73, 2: 50, 3: 75}
+    late = [ROWS[1], ROWS[0], ROWS[3], ROWS[2], *ROWS[4:], (60, 9, 0)]  # out of order between batches, within the lateness
+    src = _source(spark, tmp_path / "in", late)
+    step = lambda s, e: s + e["temp"]
+    got = _run(listener(src, "room", "ts", step, 0, "total long", lambda s: {"total": s}, ["t"], "5 seconds"), "listened", tmp_path / "cp", "append")
+    got = sorted((r["ts_ms"] // 1000, int(r["key"]), r["total"]) for r in got.collect() if r["key"] != "9")
+    want = sorted((r["ts"], r["room"], r["value"]) for r in _batch(spark).agg("sum", "temp").df.collect())
+    assert got == want
+
+
+def test_listener_forgets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [(2, 1, 25), (20, 2, 1), (21, 2, 1), (30, 1, 7), (60, 9, 0), (90, 9, 0)]
+    src = _source(spark, tmp_path / "in", rows)
+    step = lambda s, e: s + e["temp"]
+    got = _run(listener(src, "room", "ts", step, 0, "total long", lambda s: {"total": s}, ["t"], retention_ms=10_000), "forgot", tmp_path / "cp", "append")
+    assert sorted((r["ts_ms"] // 1000, r["total"]) for r in got.collect() if r["key"] == "1") == [(2, 25), (30, 7)]
