@@ -10,11 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stream import Stream, Value
-from .timeline import as_of, by_time, changed, overlapping, prefix
+from .timeline import by_time, changed, overlapping, prefix
 
 
 @dataclass(frozen=True)
@@ -58,14 +58,18 @@ class Entity:
         df = self.table if now is None else self.table.where(F.col("ts") <= now)
         return df.groupBy(self.id).agg(F.max_by(F.struct(*self.members), "ts").alias("_r")).select(self.id, "_r.*")
 
-    def member(self, name: str, value: Value | Column) -> Entity:
-        """A derived attribute: an expression of the others, or a value keyed by the entity's id."""
+    def member(self, name: str, value: Value | Column, default: object = None) -> Entity:
+        """A derived attribute: an expression of the others, or a value keyed by the entity's id (``default`` until it is known)."""
         if isinstance(value, Value):
-            points = self.table.select(self.id, "ts").unionByName(value.df.select(F.col(value.keys[0]).alias(self.id), "ts")).distinct()
-            born = self.table.groupBy(F.col(self.id).alias("_id")).agg(F.min("ts").alias("_born"))
-            points = points.join(born, (F.col(self.id) == F.col("_id")) & (F.col("ts") >= F.col("_born"))).drop("_id", "_born")
-            own = as_of(points, self.table, [self.id], {m: m for m in self.members})
-            table = as_of(own, value.df, [self.id], {value.field: name}, right_keys=list(value.keys))
+            # Both changelogs in one pass by id: each row sees the last of either, its own instant included.
+            told = F.struct(F.lit(True).alias("_known"), *self.members)
+            mine = self.table.select(self.id, "ts", told.alias("_m"))
+            new = value.df.select(F.col(value.keys[0]).alias(self.id), "ts", F.struct(F.col(value.field).alias("_x")).alias("_v"))
+            w = by_time([self.id]).rangeBetween(Window.unboundedPreceding, 0)
+            seen = mine.unionByName(new, allowMissingColumns=True).select(
+                self.id, "ts", F.last("_m", ignorenulls=True).over(w).alias("_m"), F.last("_v", ignorenulls=True).over(w).alias("_v"))
+            x = F.col("_v._x") if default is None else F.coalesce("_v._x", F.lit(default))
+            table = seen.where("_m IS NOT NULL").dropDuplicates([self.id, "ts"]).select(self.id, "ts", *[F.col("_m")[m].alias(m) for m in self.members], x.alias(name))
         else:
             table = self.table.withColumn(name, value)
         return Entity(self.name, self.id, self.events, changed(table, [self.id], [*self.members, name]), (*self.members, name))
@@ -84,26 +88,23 @@ class Entity:
 
     def has_many(self, child: Entity, name: str, fk: str | None = None) -> Entity:
         """1:N: how many children hold this entity's id, live (their ids are ``children``)."""
-        return self.member(name, child_counts(self, child, fk)).with_default(name, 0)
-
-    def with_default(self, name: str, v) -> Entity:
-        return Entity(self.name, self.id, self.events, changed(self.table.withColumn(name, F.coalesce(F.col(name), F.lit(v))), [self.id], list(self.members)), self.members)
+        return self.member(name, child_counts(self, child, fk), 0)
 
     def children(self, child: Entity, now: int | None = None, fk: str | None = None) -> DataFrame:
         fk = fk or f"{self.name.lower()}_id"
         return child.all(now).groupBy(fk).agg(F.sort_array(F.collect_set(child.id)).alias("children"))
 
 
-def child_counts(parent: Entity, child: Entity, fk: str | None = None, where: Column | None = None) -> Value:
+def child_counts(parent: Entity, child: Entity, fk: str | None = None, where: Column | None = None, few: bool = False) -> Value:
     """A keyed count: +1 where a child's key becomes the parent's, -1 where it ceases to be."""
-    return child_sum(parent, child, F.lit(1), fk, where)
+    return child_sum(parent, child, F.lit(1), fk, where, few)
 
 
-def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None, where: Column | None = None) -> Value:
+def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None, where: Column | None = None, few: bool = False) -> Value:
     """The live sum of an expression over an entity's children, of those for which ``where`` holds.
 
     A correlated sub-select with an aggregate: what a child adds moves with its key, its members and
-    the condition. Few parents with many changes are run by bucket of time.
+    the condition. With ``few`` parents, of many changes each, these are run by bucket of time.
     """
     fk = fk or f"{parent.name.lower()}_id"
     x = F.coalesce(expr, F.lit(0)) if where is None else F.when(where, expr).otherwise(F.lit(0))
@@ -114,8 +115,11 @@ def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None
         rows.where("_was._fk IS NOT NULL").select(F.col("_was._fk").alias(parent.id), "ts", (-F.col("_was._x")).alias("_d")))
     at = moves.groupBy(parent.id, "ts").agg(F.sum("_d").alias("_d"))
     bucket = child.events.bucket
-    out = prefix(at, ["ts"], {"value": ("sum", F.col("_d"))}, bucket, (parent.id,)).drop("_d")
-    return Value(changed(out, [parent.id], ["value"], None, bucket), (parent.id,), "value", bucket, out)
+    if few:
+        out = prefix(at, ["ts"], {"value": ("sum", F.col("_d"))}, bucket, (parent.id,)).drop("_d")
+    else:
+        out = at.withColumn("value", F.sum("_d").over(by_time([parent.id]).rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+    return Value(changed(out, [parent.id], ["value"], None, bucket if few else None), (parent.id,), "value", bucket, out)
 
 
 def memberships(parent: Entity, child: Entity, fk: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from .catalogue import DAY, E_SQL, HOUR, events, per_user, query
 def volumes(reports: Stream) -> Value:
     """Vehicles per segment, live: a vehicle is where it last reported."""
     vehicle = Entity.create_from("Vehicle", reports, "vehicle_id")
-    return child_counts(Entity("Segment", "segment_id", reports, reports.df), vehicle)
+    return child_counts(Entity("Segment", "segment_id", reports, reports.df), vehicle, few=True)
 
 
 def tolls(reports: Stream, length: int, limit: float, just_before: bool = False) -> DataFrame:
