@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Tokens of an image patch's side, of a second of audio, and of a page.
@@ -143,7 +143,11 @@ def formatted_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",),
 
 
 def conversations(segments: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, loss_spans, attachments, expanded_tokens)``: for conversations that fit a row."""
+    """``(conv_id, formatted, loss_spans, attachments, expanded_tokens)``: for conversations that fit a row.
+
+    Turns stand in order of number, then of role and content; spans count from the conversation's begin;
+    a conversation without attachments has an empty list and 0 tokens. No rows give no conversations.
+    """
     rows = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "tie", "formatted", "loss_start", "loss_end", "attachments"))).alias("t"))
     at = F.transform("t", lambda x, i: x.withField("at", F.aggregate(F.slice("t", 1, i), F.lit(0), lambda a, y: a + F.char_length(y["formatted"]))))
     shift = F.flatten(F.transform("t", lambda x: F.transform(x["attachments"], lambda a: a.withField("start", a["start"] + x["at"]).withField("end", a["end"] + x["at"]))))
@@ -153,8 +157,39 @@ def conversations(segments: DataFrame) -> DataFrame:
         shift.alias("attachments")).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted rows alone: turns, digests of turns and of what is trained on, and sizes."""
+def placed(segments: DataFrame) -> DataFrame:
+    """``(conv_id, at, formatted, loss_start, loss_end, attachments)``: the turns with their places in the whole conversation.
+
+    A conversation is its rows' ``formatted`` joined in order of ``at``; spans count from its begin, ends
+    exclusive; a turn that is not trained on has an empty span. One pass over sorted rows, so a
+    conversation of any length takes bounded memory.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = object(), 0
+        for b in batches:
+            ats, lows, highs, attached = [], [], [], []
+            for conv, piece, lo, hi, own in zip(*(c.to_pylist() for c in b.columns[:5])):
+                if conv != last:
+                    last, at = conv, 0
+                ats.append(at)
+                lows.append(at + lo)
+                highs.append(at + hi)
+                attached.append([a | {"start": a["start"] + at, "end": a["end"] + at} for a in own])
+                at += len(piece)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ats, pa.int64()), b.column(1), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(attached, pa.list_(_ATTACHMENT))],
+                                             ["conv_id", "at", "formatted", "loss_start", "loss_end", "attachments"])
+
+    rows = segments.select("conv_id", "formatted", "loss_start", "loss_end", "attachments", "turn", "tie").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+    kinds = "conv_id long, at long, formatted string, loss_start long, loss_end long, attachments array<struct<kind:string,ref:string,start:long,end:long,tokens:long>>"
+    return rows.mapInArrow(run, kinds)
+
+
+def read_back(output: DataFrame) -> DataFrame:
+    """Per conversation, from the rows of ``placed`` alone: turns, digests of turns and of what is trained on, and sizes.
+
+    Pieces must follow each other without a gap, and what is trained on is cut by its span in the
+    whole conversation. No rows give no conversations.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,16 +205,18 @@ def read_back(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
         for b in batches:
-            for conv, piece, lo, hi in zip(*(b.column(i) for i in range(4))):
-                conv, piece, lo, hi = conv.as_py(), piece.as_py(), lo.as_py(), hi.as_py()
+            for conv, at, piece, lo, hi in zip(*(b.column(i) for i in range(5))):
+                conv, at, piece, lo, hi = conv.as_py(), at.as_py(), piece.as_py(), lo.as_py(), hi.as_py()
                 if state is None or state["id"] != conv:
                     if state is not None:
                         closed()
                     state = {"id": conv, "n": 0, "turns": sha256(), "loss": sha256(), "chars": 0, "size": 0}
+                if at != state["size"]:
+                    raise ValueError(f"conversation {conv}: a piece at {at} follows {state['size']} characters")
                 for m in _turn.finditer(piece):
                     state["n"] += 1
                     state["turns"].update(f"{_read_role(m[1])}\n{unescaped(m[2])}\n".encode("utf-8", "surrogatepass"))
-                trained = unescaped(piece[lo:hi])
+                trained = unescaped(piece[lo - at:hi - at])
                 state["loss"].update(trained.encode("utf-8", "surrogatepass"))
                 state["chars"] += len(trained)
                 state["size"] += len(piece)
@@ -189,7 +226,7 @@ def read_back(segments: DataFrame) -> DataFrame:
             closed()
         yield batch()
 
-    rows = segments.select("conv_id", "formatted", "loss_start", "loss_end", "turn", "tie").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+    rows = output.select("conv_id", "at", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "at")
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -197,7 +234,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return read_back(formatted_turns(turns.unionByName(extra)))
+    return read_back(written(placed(formatted_turns(turns.unionByName(extra))), "formatted"))
 
 
 OP2_SQL = r"""

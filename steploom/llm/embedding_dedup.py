@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 
 #: Vectors in a block; a tile needs a few times BLOCK * STRIP * 4 bytes.
-BLOCK, STRIP = 2048, 512
+BLOCK, STRIP = 4096, 512
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,11 +79,17 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> list[tu
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Doubles, each row divided by its largest component, so that squares neither overflow nor vanish."""
+    x = x.astype("<f8")
+    return x / np.abs(x).max(axis=1)[:, None]
+
+
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``(vec_id, label, v, usable)``; usable: a label, and finite components that are not all zero."""
+    """``(vec_id, label, v, own, usable)``; usable: a label, and finite components that are not all zero; own: the components as they came."""
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"), F.col(vector_col).alias("own"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite
     # Scaled by its largest component, so that squares neither overflow nor vanish.
@@ -102,7 +108,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     """
     rows = written(_classes(vectors, id_col, vector_col, label_col), "vectors")
     good = rows.where("usable").withColumn("dim", F.size("v"))
-    classes = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # Blocks carry components as they came: four bytes each of floats, from which the tiles make doubles.
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    classes = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("own", "vec_id").alias("own"))
+    kind = "<f4" if single else "<f8"
     counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # A class is dealt by its vector's hash; the sort of a block's rows makes its tiles agree.
     dealt = classes.join(counts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
@@ -110,7 +119,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, block: int = BL
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rep", "class"])
-        x = np.stack(pdf["v"].to_numpy()).astype("<f8")
+        x = np.stack(pdf["own" if single else "v"].to_numpy()).astype(kind)
         return pd.DataFrame({"label": [str(pdf["label"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "blocks": [int(pdf["blocks"].iloc[0])],
                              "reps": [pdf["rep"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()], "x": [x.tobytes()]})
 
@@ -125,7 +134,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, block: int = BL
         dim = int(pdf["dim"].iloc[0])
         reps = [np.frombuffer(r, "<i8") for r in pdf["reps"]]
         copies = [np.frombuffer(r, "<i8") for r in pdf["copies"]]
-        x = [np.frombuffer(r, "<f8").reshape(-1, dim) for r in pdf["x"]]
+        x = [_scaled(np.frombuffer(r, kind).reshape(-1, dim)) for r in pdf["x"]]
         both = len(x) == 2
         shift = len(x[0]) if both else 0
         found = tile_links(x[0], x[1] if both else None, threshold)

@@ -117,21 +117,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budgets: Sequence
     cuts = cuts.withColumnRenamed("source", "cut_source")
     # Cuts are a row a source: Spark broadcasts them if their file is small, and joins by key if not.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")) == F.coalesce(F.concat(F.lit("="), "cut_source"), F.lit("~"))
-    copies = F.col("whole") + (F.col("h") <= F.col("threshold")).cast("long")
+    copies = _copies(F.col("whole"), F.col("h"), F.col("threshold"), max_repeat)
     return slim.join(cuts, key).select("doc_id", "source", "size", "h", "budget", "source_size", "target",
                                        copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its ``copies``, none for 0."""
+def _copies(whole: Column, h: Column, threshold: Column, max_repeat: float) -> Column:
+    """Passes over all of the source and the last, never more than ``max_repeat`` (documents without words cost no budget)."""
+    return F.least(whole + (h <= threshold).cast("long"), F.lit(int(max_repeat)).cast("long"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budgets: Sequence[float] = (1.0,), max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """``docs`` (doc_id, text, source and others) as the mix takes them: each row as often as its ``copies``, none for 0.
+
+    With several budgets the mixes stand together. Null texts have size 0, null sources are one
+    source, rows that repeat an id are taken together, and an empty table gives an empty mix.
+    """
     slim = written(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"),
                                word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = written(thresholds(slim, written(targets(sizes, **how), "mix")), "mix").select(
+    cuts = written(thresholds(slim, written(targets(sizes, weights, budgets, max_repeat), "mix")), "mix").select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_cut_key"), F.col("whole").alias("_cut_whole"), F.col("threshold").alias("_cut_at"))
     discard(slim)
     both = docs.withColumn("_cut_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))).join(cuts, "_cut_key")
-    copies = (F.col("_cut_whole") + (doc_hash(F.col("doc_id")) <= F.col("_cut_at")).cast("long")).cast("int")
+    copies = _copies(F.col("_cut_whole"), doc_hash(F.col("doc_id")), F.col("_cut_at"), max_repeat).cast("int")
     return both.withColumn("_cut_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
@@ -157,6 +166,6 @@ c AS (SELECT d.*, u.source_size, u.target, u.whole, u.rest,
              sum(size) OVER (PARTITION BY d.source, h)::DOUBLE AS own
       FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target, taken, copies FROM (
-  SELECT doc_id, size, source_size, target, whole + k AS copies, (whole + k) * size AS taken FROM (
+  SELECT doc_id, size, source_size, target, least(whole + k, 3) AS copies, least(whole + k, 3) * size AS taken FROM (
     SELECT *, CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END AS k FROM c))
 """

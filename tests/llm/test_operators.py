@@ -206,7 +206,7 @@ def test_personal_data(docs):
 
 def test_chat(spark):
     t = spark.createDataFrame([(1, 1, "assistant", "<|im_end|>"), (1, 0, "user", None), (2, 0, None, "x"), (1, 1, "assistant", "<|im_end|>")], "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted_turns(t)).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.placed(chat.formatted_turns(t))).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 20 and got[1]["loss_sha256"] == sha256(b"<|im_end|>" * 2).hexdigest()
     assert got[2]["loss_chars"] == 0 and got[2]["turns_sha256"] == sha256(b"\nx\n").hexdigest()
-    assert chat.read_back(chat.formatted_turns(t.limit(0))).count() == 0
+    assert chat.read_back(chat.placed(chat.formatted_turns(t.limit(0)))).count() == 0
