@@ -8,7 +8,7 @@ counted by pattern, which bounds them at 5 kinds times 3^5 votes times a few sha
 of the corpus; expectation-maximisation over the counts estimates how often each labeler votes for true
 and for false candidates, and its posteriors train the final classifier, a naive Bayes over votes and
 shapes. Strict matches that pass their checks always stay; the classifier decides on the others, unless
-they touch one that stays.
+they touch one that stays; it takes none that fails its check.
 
 Secrets (keys, tokens, passwords) are a kind of their own, found by the labelers alone and told apart.
 """
@@ -63,6 +63,8 @@ GAZETTEER = {
     "secret": r"^(AKIA[0-9A-Z]{16}|gh[pousr]_\w+|sk-\w+|xox[abp]-.+|eyJ.+|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$)",
 }
 LABELERS, ROUNDS, ACCEPT = 5, 25, 0.9
+#: The labeler that checks the value, and how often at least it passes true candidates.
+CHECK, PASSES = 1, 0.95
 #: Strict matches that fail and are shorter are no candidates.
 LEAST = 7
 
@@ -199,7 +201,8 @@ def reliabilities(votes: DataFrame) -> DataFrame:
     """A row for each kind of ``votes`` (k, v, shape): ``pats`` (votes, shape, count, posterior), ``pi``, ``tp`` and ``fp`` of each labeler.
 
     Two classes, labelers independent given the class, abstentions missing; Beta priors keep the
-    estimates inside (0, 1) and tie the classes to their names.
+    estimates inside (0, 1), and true candidates pass the check with at least ``PASSES``, which ties
+    the classes to their names also where a kind has no true candidate.
     """
     pats = votes.groupBy("k", "v", "shape").agg(F.count("*").cast("double").alias("n"))
     kinds = pats.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "shape", "n"))).alias("pats"))
@@ -208,9 +211,9 @@ def reliabilities(votes: DataFrame) -> DataFrame:
     rate = "transform(sequence(0, {last}), j -> (aggregate(z, {a}, (a, p) -> a + CASE WHEN p.v[j] = 1 THEN p.n * {w} ELSE 0D END)) / (aggregate(z, {b}, (a, p) -> a + CASE WHEN p.v[j] <> 0 THEN p.n * {w} ELSE 0D END)))"
     step = f"""element_at(transform(array({q}), z -> named_struct(
         'pi', (aggregate(z, 1D, (a, p) -> a + p.n * p.q)) / (aggregate(z, 2D, (a, p) -> a + p.n)),
-        'tp', {rate.format(last=LABELERS - 1, a='8D', b='10D', w='p.q')},
+        'tp', transform({rate.format(last=LABELERS - 1, a='8D', b='10D', w='p.q')}, (x, j) -> if(j = {CHECK}, greatest(x, {PASSES}D), x)),
         'fp', {rate.format(last=LABELERS - 1, a='2D', b='10D', w='(1 - p.q)')})), 1)"""
-    start = f"named_struct('pi', 0.5D, 'tp', array_repeat(0.8D, {LABELERS}), 'fp', array_repeat(0.2D, {LABELERS}))"
+    start = f"named_struct('pi', 0.5D, 'tp', transform(array_repeat(0.8D, {LABELERS}), (x, j) -> if(j = {CHECK}, {PASSES}D, x)), 'fp', array_repeat(0.2D, {LABELERS}))"
     out = kinds.withColumn("s", F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step})"))
     return out.select("k", F.expr(q).alias("pats"), "s.pi", "s.tp", "s.fp")
 
@@ -242,7 +245,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = written(classifier(written(reliabilities(votes), "trust")), "model")
     names = F.concat(F.transform("v", lambda x, j: F.concat(j.cast("string"), F.lit(":"), x.cast("string"))), F.array(F.concat(F.lit("s:"), F.col("shape").cast("string"))))
     logit = F.aggregate(names, F.col("prior"), lambda a, f: a + F.coalesce(F.try_element_at("weights", f), F.lit(0.0)))
-    taken = apart(free.join(F.broadcast(model), "k").where(1 / (1 + F.exp(-logit)) >= ACCEPT))
+    # What fails its check is never taken, whatever the other votes.
+    sure = (F.col("v")[CHECK] == 1) & (1 / (1 + F.exp(-logit)) >= ACCEPT)
+    taken = apart(free.join(F.broadcast(model), "k").where(sure))
     taken = written(taken.groupBy(F.col("row").alias("r")).agg(F.collect_list("s").alias("s")), "taken")
     both = found.join(taken, F.col("row") == F.col("r"), "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<k:int,start:int,end:int>>")))
     bare = F.transform("base", lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
