@@ -106,20 +106,22 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     as does one without label or id, or of another length. Equal vectors link with each other;
     rows that repeat an id count as vectors of their own. An empty table gives an empty result.
     """
-    rows = written(_classes(vectors, id_col, vector_col, label_col), "vectors")
-    good = rows.where("usable").withColumn("dim", F.size("v"))
+    # Equal vectors of a label share two 64-bit hashes, which stand for them in all that is moved.
+    marks = [F.when(F.col("usable"), F.xxhash64(F.lit(i), "label", "v")).alias(f"m{i}") for i in (1, 2)]
     # Blocks carry components as they came: four bytes each of floats, from which the tiles make doubles.
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
-    classes = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("own", "vec_id").alias("own"))
     kind = "<f4" if single else "<f8"
+    rows = _classes(vectors, id_col, vector_col, label_col)
+    rows = written(rows.select("vec_id", "label", F.size("v").alias("dim"), "usable", F.col("own" if single else "v").alias("x"), *marks), "vectors")
+    classes = rows.where("usable").groupBy("label", "dim", "m1", "m2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("x", "vec_id").alias("x"))
+    classes = written(classes, "classes")
     counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # A class is dealt by its vector's hash; the sort of a block's rows makes its tiles agree.
-    dealt = classes.join(counts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    dealt = written(dealt.withColumn("class", F.xxhash64("label", "v")), "classes")
+    # A class is dealt by its hash; the sort of a block's rows makes its tiles agree.
+    dealt = classes.join(counts, ["label", "dim"]).withColumn("block", F.pmod("m1", F.col("blocks")).cast("int"))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rep", "class"])
-        x = np.stack(pdf["own" if single else "v"].to_numpy()).astype(kind)
+        pdf = pdf.sort_values(["rep", "m1", "m2"])
+        x = np.stack(pdf["x"].to_numpy()).astype(kind)
         return pd.DataFrame({"label": [str(pdf["label"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "blocks": [int(pdf["blocks"].iloc[0])],
                              "reps": [pdf["rep"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()], "x": [x.tobytes()]})
 
@@ -153,13 +155,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     found = written(tiles.groupBy("label", "dim", "i", "j").applyInPandas(tile, "a long, b long, links long"), "tiles")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     joined = written(components(found.where("a <> b")), "joined")
-    own = dealt.select(F.col("label").alias("l"), F.col("v").alias("w"), "rep", "copies").join(
+    own = classes.select(F.col("m1").alias("c1"), F.col("m2").alias("c2"), "rep", "copies").join(
         links, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left").select(
-        F.xxhash64("l", "w").alias("class"), "l", "w", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    mark = F.when(F.col("usable"), F.xxhash64("label", "v"))
-    out = rows.withColumn("mark", mark).join(own, (F.col("mark") == F.col("class")) & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
+        "c1", "c2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    own = written(own, "told")
+    out = rows.select("vec_id", "m1", "m2").join(own, (F.col("m1") == F.col("c1")) & (F.col("m2") == F.col("c2")), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.when(F.col("class").isNull(), 0).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+    return out.select("vec_id", F.when(F.col("c1").isNull(), 0).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
                       component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
