@@ -245,7 +245,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     base = written(shingle_counts(docs, k), "sets")
     sizes = {r["n"]: r["count"] for r in base.where(f"n BETWEEN 1 AND {LARGEST_SMALL}").groupBy("n").count().collect()}  # LARGEST_SMALL rows at most
     plan = Plan(num, den, boundary(sizes, num, den))
-    reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join with it can split a print that many copies share.
+    reps = written(base.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
     members = written(base.where("doc_id IS NOT NULL").join(reps, "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "members")
 
     keyed = postings(docs, k, plan).withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1")
