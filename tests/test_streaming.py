@@ -1,5 +1,7 @@
 """Streaming gives what batch gives."""
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ ROWS = [(2, 1, 25), (4, 3, 45), (5, 1, 25), (6, 2, 50), (7, 3, 30), (9, 1, 23)]
 
 def _source(spark, tmp_path, rows):
     for i, r in enumerate(rows):
-        pd.DataFrame([r], columns=["t", "room", "temp"]).to_json(tmp_path / f"in-{i:03}.json", orient="records", lines=True)
+        path = tmp_path / f"in-{i:03}.json"
+        pd.DataFrame([r], columns=["t", "room", "temp"]).to_json(path, orient="records", lines=True)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in order of their times
     raw = spark.readStream.schema("t long, room long, temp long").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     return raw.withColumn("ts", F.timestamp_seconds("t"))
 
