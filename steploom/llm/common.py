@@ -92,19 +92,26 @@ def ascii_lower(text: Column) -> Column:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step: neighbours are hung on the least node that a node sees."""
+    """One large-star or small-star step, written: neighbours are hung on the least node that a node sees.
+
+    The least nodes are written before the edges meet them, so that their size is known: a small
+    table is broadcast and no edge moves by node; a large one meets the edges in a join that can
+    split a node which holds many of them.
+    """
     if large:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         seen = edges
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = seen.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    after = written(out.where("u <> v").distinct(), "cc")
+    discard(edges, least)
+    return after
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -112,7 +119,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps on a distributed edge table (Kiveris et al. 2014):
     edge counts never grow, minima are combined before each shuffle, and a hub's edges may be
-    split over tasks. Each round is written, and the driver sees only a count and a checksum.
+    split over tasks. Each step is written, and the driver sees only a count and a checksum.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     now = written(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct(), "cc")
@@ -124,6 +131,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = tuple(mark)
-        after = written(_star(_star(now, True), False), "cc")
-        discard(now)
-        now = after
+        now = _star(_star(now, True), False)
