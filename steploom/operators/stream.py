@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import as_of, by_time, changed, interval_join, intervals, overlapping, prefix
+from .timeline import as_of, beside, by_time, changed, interval_join, intervals, overlapping, prefix
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -49,9 +49,9 @@ def _parts(kind: str) -> dict[str, tuple[str, Column]]:
             "any": {m: ("max", x.cast("int"))}, "all": {m: ("min", x.cast("int"))}}[kind]
 
 
-def _whole(kind: str, whole: bool) -> Column:
-    """An aggregate of its parts."""
-    s, n, m = F.col("_s"), F.col("_n"), F.col("_m")
+def _whole(kind: str, whole: bool, parts: dict[str, Column] | None = None) -> Column:
+    """An aggregate of its parts, which are columns of their names or as given."""
+    s, n, m = ((parts or {}).get(p, F.col(p)) for p in ("_s", "_n", "_m"))
     if kind == "stddev":
         return F.when(n > 1, F.sqrt(F.greatest(F.col("_q") - s * s / n, F.lit(0.0)) / (n - 1)))
     if kind == "avg":
@@ -185,8 +185,8 @@ class Stream:
         return Value(rows, self.keys, name, self.bucket).distinct_until_changed()
 
     # -- windows -------------------------------------------------------------------------------
-    def window(self, length: int) -> EventWindow:
-        return EventWindow(self, length)
+    def window(self, length: int, few: bool = False) -> EventWindow:
+        return EventWindow(self, length, few)
 
     def rows_window(self, n: int, kind: str, field: str) -> DataFrame:
         """An aggregate of the last ``n`` events at each event."""
@@ -251,6 +251,8 @@ class EventWindow:
 
     stream: Stream
     length: int
+    #: Few keys, of many events each: an aggregate runs by block of time.
+    few: bool = False
 
     def where(self, cond: Column | str) -> EventWindow:
         return replace(self, stream=self.stream.where(cond))
@@ -293,7 +295,56 @@ class EventWindow:
         """The aggregate as a value, with the changes that expiry brings."""
         c = F.col(c) if isinstance(c, str) else c
         whole = self.stream.df.select(c.alias("x")).dtypes[0][1] in ("int", "bigint", "smallint", "tinyint")
-        return self._probed(c, lambda w: over(kind, F.col("_x"), w, whole), name, F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None)
+        initial = F.lit({"any": False, "all": True}[kind]) if kind in ("any", "all") else None
+        if kind == "stddev":  # its parts would cancel
+            return self._probed(c, lambda w: over(kind, F.col("_x"), w, whole), name, initial)
+        s, spread = self.stream, self.few or not self.stream.keys
+        rows = self._moves(c)
+        rows = self._met(rows if spread else rows.repartition(*s.keys), kind, whole, name)
+        rows = rows.dropDuplicates([*s.keys, "_b", "ts"])
+        out = Value(rows.select(*s.keys, "ts", name), s.keys, name, s.bucket)
+        if not spread:
+            return out.distinct_until_changed(initial)
+        differs = ~F.col(name).eqNullSafe(F.col("_before"))
+        if initial is None:  # a key's first row always stays
+            first = s.df.groupBy(*s.keys).agg(F.min("ts").alias("_first"))
+            rows, differs = beside(rows, first, s.keys), differs | (F.col("ts") == F.col("_first"))
+        return replace(out, df=rows.where(differs).select(*s.keys, "ts", name), raw=out.df)
+
+    def seen(self, points: DataFrame, kind: str, c: Column | str, name: str = "value") -> DataFrame:
+        """``points``, rows with the keys and ``ts``, with the aggregate as of their instant: in one pass with the events."""
+        c = F.col(c) if isinstance(c, str) else c
+        whole = self.stream.df.select(c.alias("x")).dtypes[0][1] in ("int", "bigint", "smallint", "tinyint")
+        rows = self._moves(c).withColumn("_row", F.lit(None).cast(points.schema))
+        at = points.select(*self.stream.keys, "ts", F.struct(*points.columns).alias("_row"))
+        met = self._met(rows.unionByName(at, allowMissingColumns=True), kind, whole, name)
+        return met.where("_row IS NOT NULL").select("_row.*", name)
+
+    def _moves(self, c: Column) -> DataFrame:
+        """What comes (``_in``) and what leaves, with ``c`` as ``_x``."""
+        come = self.stream.df.select(*self.stream.keys, "ts", F.lit(True).alias("_in"), c.alias("_x"))
+        return come.unionByName(come.withColumn("ts", F.col("ts") + self.length).withColumn("_in", F.lit(False)))
+
+    def _met(self, moves: DataFrame, kind: str, whole: bool, name: str) -> DataFrame:
+        """``moves`` with the aggregate at their instant and just before it (``_before``), at a cost that does not depend on how many events a window holds.
+
+        Time is cut into blocks of ``length`` (``_b``). A window that ends in a block holds what has come in
+        the block so far and what came in the block before and leaves later in this one: two running
+        aggregates, one forwards and one backwards, neither of which takes anything away.
+        """
+        rows = moves.withColumn("_b", F.col("ts") - F.pmod(F.col("ts"), F.lit(self.length)))
+        run = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        met = {"sum": lambda a, b: zero(a) + zero(b), "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+        keys, start = (*self.stream.keys, "_b"), Window.unboundedPreceding
+        on, back = by_time(keys), by_time(keys, F.col("ts").desc())
+        ends = {"_now": (on.rangeBetween(start, 0), back.rangeBetween(start, -1)), "_before": (on.rangeBetween(start, -1), back.rangeBetween(start, 0))}
+        out = rows
+        for p, (how, x) in _parts(kind).items():
+            for end, (so_far, later) in ends.items():
+                out = out.withColumn(p + end + "_a", run[how](F.when(F.col("_in"), x)).over(so_far)).withColumn(p + end + "_z", run[how](F.when(~F.col("_in"), x)).over(later))
+        both = {end: {p: met[how](F.col(p + end + "_a"), F.col(p + end + "_z")).cast(out.schema[p + end + "_a"].dataType) for p, (how, _) in _parts(kind).items()} for end in ends}
+        return out.select(*rows.columns, _whole(kind, whole, both["_now"]).alias(name), _whole(kind, whole, both["_before"]).alias("_before"))
 
     def index(self, i: int, field: str, name: str = "value") -> Value:
         """``w[i]``: the field of the oldest event held for 0, of the newest for -1, and so on; null beyond the window.

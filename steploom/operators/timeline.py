@@ -21,14 +21,18 @@ def _bucketed(df: DataFrame, bucket: int) -> DataFrame:
     return df.withColumn("_b", F.floor(F.col("ts") / bucket))
 
 
-def _beside(parts: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``parts`` with the columns of ``few``, which has one row for each key and bucket; keys may be null."""
-    on = [*keys, "_b"]
+def beside(parts: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``parts`` with the columns of ``few``, which has one row for each value of ``on``; these may be null."""
     r = few.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in few.columns if c not in on])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on], F.lit(True))
     return parts.join(r, same, "left").drop(*[f"_on_{k}" for k in on])
 
 
+def _beside(parts: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``beside`` for each key and bucket."""
+    return beside(parts, few, [*keys, "_b"])
+
+
 def changed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], initial: Column | None = None, bucket: int | None = None) -> DataFrame:
     """Rows whose fields differ from the key's row before; the first differs from ``initial`` or always stays.
 
@@ -131,7 +135,8 @@ def prefix(df: DataFrame, order: Sequence[str], totals: dict[str, tuple[str, Col
     own = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for name, (kind, c) in totals.items():
         parts = parts.withColumn(name, run[kind](c).over(own))
-    ends = parts.groupBy(*keys, "_b").agg(*[F.max_by(F.struct(name), F.struct(*order)).getField(name).alias(name) for name in totals])
+    total = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))}
+    ends = _bucketed(df, bucket).groupBy(*keys, "_b").agg(*[total[kind](c).alias(name) for name, (kind, c) in totals.items()])
     before = by_time(keys, "_b").rowsBetween(Window.unboundedPreceding, -1)
     again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": run["last"]}
     starts = ends.select(*keys, "_b", *[again[kind](name).over(before).alias(f"_s_{name}") for name, (kind, _) in totals.items()])
