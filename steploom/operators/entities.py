@@ -106,15 +106,8 @@ def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None
     A correlated sub-select with an aggregate: what a child adds moves with its key, its members and
     the condition. With ``few`` parents, of many changes each, these are run by bucket of time.
     """
-    fk = fk or f"{parent.name.lower()}_id"
-    x = F.coalesce(expr, F.lit(0)) if where is None else F.when(where, expr).otherwise(F.lit(0))
-    now = child.table.select(child.id, "ts", F.col(fk).alias("_fk"), x.alias("_x"))
-    rows = now.withColumn("_was", F.lag(F.struct("_fk", "_x")).over(by_time([child.id])))
-    rows = rows.where(F.col("_was").isNull() | ~F.struct("_fk", "_x").eqNullSafe(F.col("_was")))
-    moves = rows.where("_fk IS NOT NULL").select(F.col("_fk").alias(parent.id), "ts", F.col("_x").alias("_d")).unionByName(
-        rows.where("_was._fk IS NOT NULL").select(F.col("_was._fk").alias(parent.id), "ts", (-F.col("_was._x")).alias("_d")))
+    moves, bucket = child_moves(parent, child, expr, fk, where), child.events.bucket
     at = moves.groupBy(parent.id, "ts").agg(F.sum("_d").alias("_d"))
-    bucket = child.events.bucket
     if few:
         out = prefix(at, ["ts"], {"value": ("sum", F.col("_d"))}, bucket, (parent.id,)).drop("_d")
     else:
@@ -122,6 +115,17 @@ def child_sum(parent: Entity, child: Entity, expr: Column, fk: str | None = None
     return Value(changed(out, [parent.id], ["value"], None, bucket if few else None), (parent.id,), "value", bucket, out)
 
 
+def child_moves(parent: Entity, child: Entity, expr: Column, fk: str | None = None, where: Column | None = None) -> DataFrame:
+    """What ``child_sum`` sums: ``_d``, which a child brings its parent (+) or takes from it (-) at an instant."""
+    fk = fk or f"{parent.name.lower()}_id"
+    x = F.coalesce(expr, F.lit(0)) if where is None else F.when(where, expr).otherwise(F.lit(0))
+    now = child.table.select(child.id, "ts", F.col(fk).alias("_fk"), x.alias("_x"))
+    rows = now.withColumn("_was", F.lag(F.struct("_fk", "_x")).over(by_time([child.id])))
+    rows = rows.where(F.col("_was").isNull() | ~F.struct("_fk", "_x").eqNullSafe(F.col("_was")))
+    return rows.where("_fk IS NOT NULL").select(F.col("_fk").alias(parent.id), "ts", F.col("_x").alias("_d")).unionByName(
+        rows.where("_was._fk IS NOT NULL").select(F.col("_was._fk").alias(parent.id), "ts", (-F.col("_was._x")).alias("_d")))
+
+
 def memberships(parent: Entity, child: Entity, fk: str | None = None) -> DataFrame:
     """``hasMany`` itself, live: ``(parent's id, child's id, valid_from, valid_to)``, a row for each time that a child was the parent's."""
     fk = fk or f"{parent.name.lower()}_id"

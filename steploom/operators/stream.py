@@ -339,10 +339,11 @@ class EventWindow:
         keys, start = (*self.stream.keys, "_b"), Window.unboundedPreceding
         on, back = by_time(keys), by_time(keys, F.col("ts").desc())
         ends = {"_now": (on.rangeBetween(start, 0), back.rangeBetween(start, -1)), "_before": (on.rangeBetween(start, -1), back.rangeBetween(start, 0))}
-        out = rows
+        halves = {}  # in one select: one sort for each direction
         for p, (how, x) in _parts(kind).items():
             for end, (so_far, later) in ends.items():
-                out = out.withColumn(p + end + "_a", run[how](F.when(F.col("_in"), x)).over(so_far)).withColumn(p + end + "_z", run[how](F.when(~F.col("_in"), x)).over(later))
+                halves |= {p + end + "_a": run[how](F.when(F.col("_in"), x)).over(so_far), p + end + "_z": run[how](F.when(~F.col("_in"), x)).over(later)}
+        out = rows.select("*", *[c.alias(half) for half, c in halves.items()])
         both = {end: {p: met[how](F.col(p + end + "_a"), F.col(p + end + "_z")).cast(out.schema[p + end + "_a"].dataType) for p, (how, _) in _parts(kind).items()} for end in ends}
         return out.select(*rows.columns, _whole(kind, whole, both["_now"]).alias(name), _whole(kind, whole, both["_before"]).alias("_before"))
 

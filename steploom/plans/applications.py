@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.entities import Entity, child_counts
+from ..operators.entities import Entity, child_counts, child_moves
 from ..operators.listeners import ema
 from ..operators.stream import Stream, Value
-from ..operators.timeline import as_of
+from ..operators.timeline import prefix
 from .catalogue import DAY, E_SQL, HOUR, events, per_user, query
 
 
@@ -24,12 +26,17 @@ def tolls(reports: Stream, length: int, limit: float, just_before: bool = False)
     A segment is congested while the mean speed of its last ``length`` is under ``limit``.
     With ``just_before`` the segment is as it was before the vehicle's own report.
     """
-    mean = reports.groupby("segment_id").window(length).agg("avg", "speed")
-    entered = reports.groupby("vehicle_id").last("segment_id").df.withColumnRenamed("value", "segment_id")
-    at = entered.withColumn("_t", F.col("ts")).withColumn("ts", F.col("ts") - (1 if just_before else 0))
-    segments = reports.bucket  # few keys: run by bucket of time
-    seen = as_of(as_of(at, mean.df, ["segment_id"], {"value": "mean"}, bucket=segments), volumes(reports).df, ["segment_id"], {"value": "cars"}, bucket=segments)
-    paid = seen.select("vehicle_id", F.col("_t").alias("ts"), F.when(F.col("mean") < limit, F.coalesce("cars", F.lit(0))).otherwise(0).alias("toll"))
+    back = 1 if just_before else 0
+    # Both the vehicles' entries and the segments' counts come from the vehicles' last segments, dealt by vehicle once.
+    by_vehicle = replace(reports, df=reports.df.repartition("vehicle_id")).groupby("vehicle_id")
+    entered = by_vehicle.last("segment_id", "segment_id").df
+    vehicle, segment = Entity("Vehicle", "vehicle_id", by_vehicle, entered), Entity("Segment", "segment_id", reports, reports.df)
+    moves = child_moves(segment, vehicle, F.lit(1)).withColumn("_side", F.lit(0))
+    at = entered.select("segment_id", (F.col("ts") - back).alias("ts"), F.lit(0).alias("_d"), F.lit(1).alias("_side"), "vehicle_id")
+    # Few keys: run by bucket of time; what moves at an instant counts in it.
+    cars = prefix(moves.unionByName(at, allowMissingColumns=True), ["ts", "_side"], {"cars": ("sum", F.col("_d"))}, reports.bucket, ("segment_id",)).where("_side = 1")
+    seen = reports.groupby("segment_id").window(length, few=True).seen(cars.select("segment_id", "ts", "vehicle_id", "cars"), "avg", "speed", "mean")
+    paid = seen.select("vehicle_id", (F.col("ts") + back).alias("ts"), F.when(F.col("mean") < limit, F.col("cars")).otherwise(0).alias("toll"))
     w = Window.partitionBy("vehicle_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return Value(paid.withColumn("total", F.sum("toll").over(w)).select("vehicle_id", "ts", "total"), ("vehicle_id",), "total").distinct_until_changed().df
 

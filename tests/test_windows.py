@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import steploom.plans.applications  # noqa: F401  (registers its queries)
 import steploom.plans.catalogue as catalogue
 from steploom.operators.stream import Stream
 
@@ -65,3 +66,17 @@ def frames(df) -> str:
 
 def test_global_window_sum_is_running(spark):
     assert frames(catalogue.QUERIES["global_window_sum"](spark, "/root/testdata/sf0.001")) == "running"
+
+
+@pytest.mark.parametrize("name", ["congestion_tolls"])
+def test_tolls_at_equal_times(spark, tmp_path, name):
+    """Many vehicles at the same instants, at buckets' and blocks' edges: in few segments, without a sliding frame."""
+    duckdb, step = pytest.importorskip("duckdb"), 5 * 3600
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds((i // 20) * {step} // 4) - to_microseconds(i // 20 % 2) AS ts, i % 20 AS user_id,
+        ['a', 'b', 'c'][CAST(1 + hash(i) % 3 AS BIGINT)] AS event_type, (hash(i + 1000) % 10000) / 100.0 AS value FROM range(800) r(i)) TO '{tmp_path}/events.parquet'""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(f"SELECT vehicle_id, ts, total FROM ({catalogue.ORACLE[name]})").fetchall()
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert frames(got) == "running"
+    assert sorted(map(tuple, got.select("vehicle_id", "ts", "total").collect())) == sorted(want) and len(want) > 100
