@@ -68,7 +68,7 @@ def test_global_window_sum_is_running(spark):
     assert frames(catalogue.QUERIES["global_window_sum"](spark, "/root/testdata/sf0.001")) == "running"
 
 
-@pytest.mark.parametrize("name", ["congestion_tolls"])
+@pytest.mark.parametrize("name", ["congestion_tolls", "congestion_tolls_fixed"])
 def test_tolls_at_equal_times(spark, tmp_path, name):
     """Many vehicles at the same instants, at buckets' and blocks' edges: in few segments, without a sliding frame."""
     duckdb, step = pytest.importorskip("duckdb"), 5 * 3600
