@@ -143,3 +143,20 @@ def prefix(df: DataFrame, order: Sequence[str], totals: dict[str, tuple[str, Col
     both = _beside(parts, starts, keys)
     joined = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest, "last": F.coalesce}
     return both.select(*df.columns, *[joined[kind](F.col(name), F.col(f"_s_{name}")).alias(name) for name, (kind, _) in totals.items()])
+
+
+def sums_as_of(df: DataFrame, sums: Sequence[str], bucket: int, keys: Sequence[str], back: int, asked: str) -> DataFrame:
+    """Rows whose ``asked``, a struct, isn't null, with its fields and the running sums of whole-numbered columns as of ``back`` before ``ts``.
+
+    As ``prefix`` for few keys, but all rows of an instant count in it: rows that move a sum need no
+    order among those that ask for it, and one row may do both.
+    """
+    # Dealt once: the buckets' ends name the same columns as the pass itself, so both read one exchange.
+    parts = _bucketed(df.repartition(*keys, F.floor(F.col("ts") / bucket)), bucket)
+    ends = parts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums], F.count(asked).alias("_asked"))
+    before = by_time(keys, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_b", "_asked", *[F.sum(c).over(before).alias(f"_s_{c}") for c in sums]).where("_asked > 0").drop("_asked")
+    own = by_time(["_b", *keys]).rangeBetween(Window.unboundedPreceding, -back)
+    run = parts.select(*keys, "_b", "ts", asked, *[F.sum(c).over(own).alias(c) for c in sums]).where(F.col(asked).isNotNull())
+    both = _beside(run, F.broadcast(starts), keys)
+    return both.select(*keys, "ts", f"{asked}.*", *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_s_{c}", F.lit(0))).alias(c) for c in sums])

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.entities import Entity, child_counts, child_moves
+from ..functions.scalars import divide
+from ..operators.entities import Entity, child_counts
 from ..operators.listeners import ema
 from ..operators.stream import Stream, Value
-from ..operators.timeline import prefix
+from ..operators.timeline import by_time, sums_as_of
 from .catalogue import DAY, E_SQL, HOUR, events, per_user, query
 
 
@@ -26,19 +25,45 @@ def tolls(reports: Stream, length: int, limit: float, just_before: bool = False)
     A segment is congested while the mean speed of its last ``length`` is under ``limit``.
     With ``just_before`` the segment is as it was before the vehicle's own report.
     """
-    back = 1 if just_before else 0
-    # Both the vehicles' entries and the segments' counts come from the vehicles' last segments, dealt by vehicle once.
-    by_vehicle = replace(reports, df=reports.df.repartition("vehicle_id")).groupby("vehicle_id")
-    entered = by_vehicle.last("segment_id", "segment_id").df
-    vehicle, segment = Entity("Vehicle", "vehicle_id", by_vehicle, entered), Entity("Segment", "segment_id", reports, reports.df)
-    moves = child_moves(segment, vehicle, F.lit(1)).withColumn("_side", F.lit(0))
-    at = entered.select("segment_id", (F.col("ts") - back).alias("ts"), F.lit(0).alias("_d"), F.lit(1).alias("_side"), "vehicle_id")
-    # Few keys: run by bucket of time; what moves at an instant counts in it.
-    cars = prefix(moves.unionByName(at, allowMissingColumns=True), ["ts", "_side"], {"cars": ("sum", F.col("_d"))}, reports.bucket, ("segment_id",)).where("_side = 1")
-    seen = reports.groupby("segment_id").window(length, few=True).seen(cars.select("segment_id", "ts", "vehicle_id", "cars"), "avg", "speed", "mean")
-    paid = seen.select("vehicle_id", (F.col("ts") + back).alias("ts"), F.when(F.col("mean") < limit, F.col("cars")).otherwise(0).alias("toll"))
-    w = Window.partitionBy("vehicle_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return Value(paid.withColumn("total", F.sum("toll").over(w)).select("vehicle_id", "ts", "total"), ("vehicle_id",), "total").distinct_until_changed().df
+    back, w = int(just_before), Window.partitionBy("vehicle_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    whole = dict(reports.df.dtypes)["speed"] in ("int", "bigint", "smallint", "tinyint")
+    # Few keys: run by bucket of time, a small one, as rows of one bucket and key are slow to sort.
+    seen = sums_as_of(segment_moves(reports, length, whole), ["_c", "_s", "_n"] if whole else ["_c"], max(1, reports.bucket // 16), ["segment_id"], back, "_who")
+    if whole:
+        seen = seen.withColumn("mean", divide(F.col("_s"), F.col("_n")))
+    else:  # a sum of fractions would drift where they are taken away again
+        at = seen.withColumn("ts", F.col("ts") - back)
+        seen = reports.groupby("segment_id").window(length, few=True).seen(at, "avg", "speed", "mean").withColumn("ts", F.col("ts") + back)
+    paid = seen.withColumn("toll", F.when(F.col("mean") < limit, F.col("_c")).otherwise(0))
+    # A total differs from the one before it where a toll is paid; a vehicle's first one stays.
+    return paid.where("toll <> 0 OR first").select("vehicle_id", "ts", F.sum("toll").over(w).alias("total"))
+
+
+def segment_moves(reports: Stream, length: int, speeds: bool) -> DataFrame:
+    """What moves the number of a segment's vehicles (``_c``) and, with ``speeds``, sum (``_s``) and number (``_n``) of its last ``length``.
+
+    A report is a row, with ``_who`` where it enters the segment; another is where its vehicle was
+    before, a third its expiry.
+    """
+    df = reports.df.where("segment_id IS NOT NULL")
+    own, zero = by_time(["vehicle_id"], "ts", "seq"), F.lit(0).cast("long")
+    # An instant's last report counts; it moves its vehicle from where the last one of an instant before had left it.
+    df = df.withColumn("_last", F.lead(F.lit(1)).over(own).isNull() | ~F.lead("ts").over(own).eqNullSafe(F.col("ts")))
+    df = df.withColumn("_was", F.last(F.when(F.col("_last"), F.col("segment_id")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_enters", F.col("_last") & ~F.col("segment_id").eqNullSafe(F.col("_was")))
+    who = F.struct("vehicle_id", F.col("_was").isNull().alias("first"))
+    nobody = F.when(F.lit(False), who)
+    s = F.coalesce(F.col("speed").cast("long"), zero) if speeds else zero
+    n = F.col("speed").isNotNull().cast("long") if speeds else zero
+
+    def move(segment: str, ts: Column, c: Column, s: Column, n: Column, who: Column) -> Column:
+        return F.struct(F.col(segment).alias("segment_id"), ts.alias("ts"), c.cast("long").alias("_c"), s.alias("_s"), n.alias("_n"), who.alias("_who"))
+
+    rows = [move("segment_id", F.col("ts"), F.col("_enters"), s, n, F.when(F.col("_enters"), who)),
+            F.when(F.col("_enters") & F.col("_was").isNotNull(), move("_was", F.col("ts"), F.lit(-1), zero, zero, nobody))]
+    if speeds:
+        rows.append(move("segment_id", F.col("ts") + length, zero, -s, -n, nobody))
+    return df.select(F.explode(F.array(*rows)).alias("_m")).where("_m IS NOT NULL").select("_m.*")
 
 
 def reports(spark: SparkSession, d: str) -> Stream:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import steploom.plans.applications  # noqa: F401  (registers its queries)
 import steploom.plans.catalogue as catalogue
 from steploom.operators.stream import Stream
+from steploom.plans.applications import tolls
 
 
 def rows_of(n=120, seed=3):
@@ -80,3 +81,40 @@ def test_tolls_at_equal_times(spark, tmp_path, name):
     got = catalogue.QUERIES[name](spark, str(tmp_path))
     assert frames(got) == "running"
     assert sorted(map(tuple, got.select("vehicle_id", "ts", "total").collect())) == sorted(want) and len(want) > 100
+
+
+def brute_tolls(rows, length, limit, back, whole):
+    """``tolls`` by its definition: each entry asks all reports anew."""
+    rows = [r for r in rows if r[3] is not None]
+    at = {}  # a vehicle's segment at each of its instants
+    for t, q, v, s, _ in sorted(rows, key=lambda r: r[:2]):
+        at.setdefault(v, {})[t] = s
+    where = lambda v, t: next((s for u, s in reversed(sorted(at[v].items())) if u <= t), None)
+    out = set()
+    for v, told in at.items():
+        was, total, paid = None, 0, None
+        for t, s in sorted(told.items()):
+            if s != was:
+                x = [r[4] for r in rows if r[3] == s and t - back - length < r[0] <= t - back and r[4] is not None]
+                mean = (int(sum(x) / len(x)) if whole else sum(x) / len(x)) if x else None
+                total += sum(where(u, t - back) == s for u in at) if mean is not None and mean < limit else 0
+                if total != paid:
+                    out.add((v, t, total))
+                was, paid = s, total
+    return out
+
+
+@pytest.mark.parametrize("back", [0, 1])
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_tolls_by_definition(spark, kind, back):
+    """Reports of one vehicle at one instant, null vehicles, segments and speeds, times before 0; whole speeds take one pass of all rows."""
+    r = random.Random(5)
+    rows = [(r.randint(-40, 40) if i % 9 else 400, i, r.choice([1, 2, 3, 4, None]), r.choice(["a", "b", "c", None]), r.choice([None, *range(-5, 9)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "ts long, seq long, vehicle_id long, segment_id string, speed long")
+    got = tolls(Stream(df.withColumn("speed", F.col("speed").cast(kind)), bucket=96), 7, 2, just_before=bool(back))
+    assert frames(got) == "running"
+    kept = got.collect()
+    assert len(kept) == len(set(map(tuple, kept))) and set(map(tuple, kept)) == brute_tolls(rows, 7, 2, back, kind == "long") and len(kept) > 30
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    if kind == "long":
+        assert "Union" not in plan and "DESC" not in plan and plan.count("ReusedExchange") == 1
